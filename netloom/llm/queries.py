@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import fingerprint
+from netloom.llm import common, decontaminate, fingerprint, linefreq, mixing, sharding
 from netloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,98 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op3_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS gram
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0
+), s AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM d, (SELECT DISTINCT n FROM g) AS l, unnest(range(1, len(w) - n + 2)) AS t(i)
+), h AS (
+  SELECT s.doc_id, s.i, s.n, g.item_id FROM s JOIN g ON s.gram = g.gram AND s.n = g.n
+), c AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linefreq.drop_boilerplate(table(spark, sf_dir, "pages"))
+    return kept.select("page_id", "host", "n_lines", "n_dropped", common.sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
+ORACLE["op6_line_dedup"] = rf"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) AS host,
+    list_filter(list_transform(string_split(replace(coalesce(html, ''), '<', chr(10) || '<'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+  FROM pages
+), n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+l AS (SELECT host, line, count(*) AS held FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+c AS (SELECT host, list(line) AS common FROM l JOIN n USING (host) WHERE pages >= {linefreq.MIN_PAGES} AND held > pages * {linefreq.RATIO}::DOUBLE GROUP BY host),
+k AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(common, []::VARCHAR[]), x)) AS kept FROM p LEFT JOIN c ON p.host = c.host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
+"""
+
+
+@_query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "shard", "shard_bytes")
+
+
+ORACLE["op7_sharding"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+    substr(((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT)::BIT)::VARCHAR, 5) AS h
+  FROM documents
+), nodes AS (
+  SELECT depth, substr(h, 1, depth) AS prefix, sum(n_bytes) AS bytes, min(h) = max(h) AS single
+  FROM d, unnest(range(0, 61)) AS t(depth) GROUP BY ALL
+), leaf AS (
+  SELECT doc_id, n_bytes, min(depth) AS depth, h FROM d, nodes
+  WHERE nodes.prefix = substr(h, 1, depth) AND (bytes <= {sharding.SHARD_BYTES} OR single) GROUP BY ALL
+)
+SELECT doc_id, n_bytes, substr(h, 1, depth) AS shard, bytes::BIGINT AS shard_bytes FROM leaf JOIN nodes USING (depth) WHERE nodes.prefix = substr(h, 1, depth)
+"""
+
+
+@_query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_source_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source
+), o AS (
+  SELECT *, sum(source_size) OVER () AS everything,
+    coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onwards FROM s
+), f AS (SELECT *, (everything - before) / onwards AS level, 3 * source_size <= (everything - before) / onwards * weight AS filled FROM o),
+t AS (
+  SELECT source, source_size, CASE WHEN filled THEN (3 * source_size)::DOUBLE ELSE least(max(CASE WHEN NOT filled THEN level END) OVER () * weight, 3 * source_size) END::DOUBLE AS target FROM f
+), r AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3) ELSE 0 END AS rate,
+    (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496 AS coin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, ((floor(rate) + (coin < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM r
+"""
