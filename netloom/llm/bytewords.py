@@ -51,10 +51,10 @@ class Block:
     word; first: for document i, words first[i]:first[i + 1].
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True, blank: np.ndarray = _BLANK):
         self.data, self.offsets = data, offsets
         n = len(data)
-        word = ~_BLANK[data]
+        word = ~blank[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         borders = offsets[(offsets > 0) & (offsets < n)]
@@ -85,8 +85,8 @@ class Block:
         return mix(np.array([(own * _PLACE[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0]
 
 
-def blocks(texts: pa.Array, lower: bool, hashed: bool = True) -> Iterator[tuple[int, Block]]:
-    """(index of the first document, Block) over an Arrow string array; null texts are empty."""
+def blocks(texts: pa.Array, lower: bool, hashed: bool = True, blank: np.ndarray = _BLANK) -> Iterator[tuple[int, Block]]:
+    """(index of the first document, Block) over an Arrow string array; null texts are empty. blank: which bytes separate words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_binary())
@@ -98,5 +98,5 @@ def blocks(texts: pa.Array, lower: bool, hashed: bool = True) -> Iterator[tuple[
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-        yield at, Block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, hashed)
+        yield at, Block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, hashed, blank)
         at = to

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, decontaminate, fingerprint, linefreq, mixing, ngram_join, sharding, substring, tokenbin, toxicity
+from netloom.llm import common, decontaminate, fingerprint, license, linefreq, mixing, ngram_join, sharding, substring, tokenbin, toxicity
 from netloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(license.document_paths(table(spark, sf_dir, "documents")))
