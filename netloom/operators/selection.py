@@ -65,7 +65,7 @@ def knn_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42) ->
         padded = np.concatenate([np.full(kk, -np.inf), v, np.full(kk, np.inf)])
         # The kk nearest of a sorted line are a window that holds the point: the best of kk + 1 windows.
         reach = [np.maximum(v - padded[j : j + len(v)], padded[j + kk : j + kk + len(v)] - v) for j in range(kk + 1)]
-        radius[order] = np.nextafter(np.min(reach, axis=0), 0)
+        radius[order] = np.min(reach, axis=0) * (1 - 1e-9)  # without the k-th neighbour itself, whatever the rounding
         size[order], near[order] = len(own), kk
     use = size > 0
     line = np.sort(x[use])
