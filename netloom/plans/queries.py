@@ -7,15 +7,17 @@ on the order of addition are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.functions import columns as C
 from netloom.operators import balancing, encoding, evaluation, federated, filters, fleet, projection, ranking, scaling, selection, splitting
 from netloom.plans import dashboard, training
+from netloom.sources.sinks import shared_folder
 from netloom.sources.tables import infer_types, supervised, table
 from netloom.streaming import rounds as streams
 
@@ -217,8 +219,6 @@ def top_devices(spark: SparkSession, d: str) -> DataFrame:
   arg_max(n, CASE WHEN n > 0 THEN round END) OVER (PARTITION BY router_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_n FROM counts)
 SELECT router_id, round, n, CASE WHEN n = 0 AND last_n > 0 AND round - last_round < 1.5 THEN last_n ELSE n END AS shown FROM w""")
 def shown_counts(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     before = Window.partitionBy("router_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
     at = F.timestamp_seconds(F.col("round") * 57600)  # rounds 16 hours apart: one is within 24 hours, two are not
     positive = F.when(F.col("n") > 0, F.struct("n", at.alias("at")))
@@ -617,11 +617,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/netloom-streams"
     unique = f"{name}_{uuid.uuid4().hex}"
-    return streams.run_available(df, unique, f"{folder}/streams/{unique}")
+    return streams.run_available(df, unique, f"{shared_folder(spark)}/streams/{unique}")
 
 
 @query(f"WITH {FLOWS} SELECT router_id, round, n FROM counts")

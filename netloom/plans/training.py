@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import columns as C
 from netloom.operators import encoding, filters, projection, scaling, selection, splitting
+from netloom.sources.sinks import stored
 
 
 @dataclass
@@ -44,24 +45,24 @@ def prepare(
 ) -> tuple[DataFrame, Fitted]:
     """(rows with part, code and scaled features; what was fitted on the training part).
 
-    Steps: trim headers, drop time and topology, leave out classes, clean, split
+    Each fit is one job whose small table is stored; the split is stored as well. Steps: trim headers, drop time and topology, leave out classes, clean, split
     60/20/20, encode, scale, select, scale again. ``columns`` order the split's hash.
     """
     df = filters.require_columns(projection.strip_header(flows), [target])
     df = projection.drop_topology(projection.drop_time(df))
     df = filters.drop_rare_classes(filters.exclude_classes(df, target, excluded), target, rare)
-    split = splitting.train_val_test(df, target, [c for c in columns if c in df.columns], seed=seed)
+    split = stored(splitting.train_val_test(df, target, [c for c in columns if c in df.columns], seed=seed), "split")
     inputs = [c for c in df.columns if c != target]
     cats, nums = projection.split_columns(df.select(*inputs), categorical) if categorical is not None else projection.split_columns_by_type(df.select(*inputs))
     train = split.filter("part = 'train'")
     clean = projection.clean_features(train, cats, nums, logged)
     fit_codes = encoding.fit_codes if unknown is None else encoding.fit_codes_with_unknown
-    fitted = Fitted(cats, nums, [c for c in logged if c in nums], {c: fit_codes(clean, c) for c in cats}, None, None, [], encoding.fit_classes(train, target), unknown)
+    fitted = Fitted(cats, nums, [c for c in logged if c in nums], {c: stored(fit_codes(clean, c), "codes") for c in cats}, None, None, [], stored(encoding.fit_classes(train, target), "classes"), unknown)
     coded = _coded(train, fitted, [target])
-    fitted.ranges = scaling.fit_min_max(coded, nums) if nums else None
+    fitted.ranges = stored(scaling.fit_min_max(coded, nums), "ranges") if nums else None
     scaled = scaling.apply_min_max(coded, nums, fitted.ranges) if nums else coded
     every = [*cats, *nums]
-    fitted.final_ranges = scaling.fit_min_max(scaled, every)
+    fitted.final_ranges = stored(scaling.fit_min_max(scaled, every), "ranges")
     fitted.features = selection.select_k_best(scaling.apply_min_max(scaled, every, fitted.final_ranges), every, target, k, scorer)
     return transform(split, fitted, target, keep=["part"]), fitted
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +57,20 @@ def append_heartbeats(df: DataFrame, path: str) -> None:
 def json_payload(df: DataFrame, name: str = "payload") -> DataFrame:
     """Each row as JSON."""
     return df.select(F.to_json(F.struct("*")).alias(name))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); where it is unset, an own one for local runs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="netloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later steps start from it."""
+    path = f"{shared_folder(df.sparkSession)}/netloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
