@@ -2,9 +2,11 @@
 
 1. Documents with equal shingle sets form a class; classes are joined, copies are not.
 2. Blocking. Two linked sets of sizes in neighbouring size bands differ in at
-   most D elements. Hash values are cut into m > D parts, so one non-empty part at
-   least is equal in both: its hash is a key. Sets for which empty parts spoil
-   that count give their keys whole too, see ``_keys``. No linked pair is lost.
+   most D elements. Hash values are cut into m > D parts; of c non-empty parts of
+   a set, c - D at least are equal in any linked one. Their hashes are keys. Sets
+   with too many empty parts (c <= D) add single elements as keys, see ``_keys``. A
+   class that meets others in fewer keys than c - D has no link, and a pair that
+   shares fewer isn't one. No linked pair is lost.
 3. Within a key the classes meet a leader; rows of the incidence matrix are
    multiplied block by block, overlap counts accumulate over column blocks, and
    pairs under the bound that their sizes imply are discarded. Only then do
@@ -32,6 +34,10 @@ WORDS = 4
 SHARE = 85
 #: Keys of more classes are joined by products of block pairs.
 HOT = 64
+#: One more part than needed for so many that may differ: links then share several keys, chance meetings don't.
+SLACK = 6
+#: Passes over the keys that drop classes which meet others in too few keys for a link.
+PEELS = 2
 #: Rows of a block, and matrix entries that it may hold.
 BLOCK_ROWS = 256
 BLOCK_ENTRIES = 400_000
@@ -59,36 +65,50 @@ def _band(n: int, share: int) -> int:
     return int(math.log(n) / math.log(100 / share) + 1e-9)
 
 
-def _keys(own: np.ndarray, share: int) -> np.ndarray:
-    """The blocking keys of a set: hashes of its parts, for its size band and the next one."""
-    n, out = len(own), []
-    for band in (_band(n, share), _band(n, share) + 1):
+def _keys(own: np.ndarray, share: int) -> tuple[np.ndarray, list[int]]:
+    """The blocking keys of a set for its size band and the next one, and how many of each a linked set shares at least.
+
+    A key's lowest bit is the parity of its band, which tells the two bands apart.
+    """
+    n, out, least = len(own), [], []
+    low = _band(n, share)
+    for band in (low, low + 1):
         top = math.ceil((100 / share) ** (band + 1))
         most = int((100 - share) * 2 * top / (100 + share))  # elements in which a linked pair of this band may differ
-        parts = most + 1 + most // 50
-        salt = bytewords.mix(np.array([band], np.uint64))[0]
+        least.append(1)
         if most == 0:  # linked sets of this size are equal, and so one class
             continue
+        parts = most + 1 + max(1, most // SLACK)
+        salt = bytewords.mix(np.array([band], np.uint64))[0]
         part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
         sums = np.add.reduceat(bytewords.mix(own ^ salt), cuts)
-        out.append(bytewords.mix(sums + part[cuts] * bytewords._PLACE[0] + salt))
+        keys = [bytewords.mix(sums + part[cuts] * bytewords._PLACE[0] + salt)]
         if len(cuts) <= most:  # too many empty parts: single elements as keys, the prefix of a set in hash order
-            out.append(bytewords.mix((own[: most + 1] ^ salt) * bytewords._PLACE[1] + salt))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys.append(bytewords.mix((own[: most + 1] ^ salt) * bytewords._PLACE[1] + salt))
+        else:
+            least[-1] = len(cuts) - most
+        out += [(k & ~np.uint64(1)) | np.uint64(band & 1) for k in keys]
+    if low & 1:
+        least.reverse()
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), least
+
 
+def _classes(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """(doc_id, n_shingles, class, even, odd): class is a hash of the shingle set, null for an empty one.
 
-def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, class): class is a hash of the shingle set, null for an empty one."""
+    even, odd: how many keys of an even or odd band a linked set shares at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, digest, least = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones((batch.num_rows, 2), np.int32)
             for i, own in shingle_sets(batch.column(1), words):
-                n[i], digest[i] = len(own), _digest(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, mask=n == 0)], ["doc_id", "n_shingles", "class"])
+                if len(own):
+                    n[i], digest[i], least[i] = len(own), _digest(own), _keys(own, share)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, mask=n == 0), pa.array(least[:, 0]), pa.array(least[:, 1])], ["doc_id", "n_shingles", "class", "even", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, even int, odd int")
 
 
 def _key_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
@@ -101,7 +121,7 @@ def _key_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
             keys, owners, held = [], [], 0
             for _, own in shingle_sets(batch.column(0), words):
                 if len(own):
-                    keys.append(_keys(own, share))
+                    keys.append(_keys(own, share)[0])
                     owners.append(_digest(own))
                     held += len(keys[-1])
                 if held > 500_000:
@@ -113,6 +133,24 @@ def _key_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, class long")
 
 
+def _met(docs: DataFrame, classes: DataFrame, words: int, share: int) -> DataFrame:
+    """(key, class, leader, size, least): keys of several classes, for classes that may have a link.
+
+    A class that meets others in fewer keys than any link needs has none: it
+    goes, and so do keys that are left to one class, in PEELS passes.
+    """
+    window = Window.partitionBy("key")
+    several = lambda df: df.withColumns({"leader": F.min("class").over(window), "last": F.max("class").over(window)}).filter(F.col("leader") < F.col("last")).drop("leader", "last")
+    met = several(_key_rows(docs, words, share)).distinct()
+    needs = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    met = met.join(needs, "class").withColumn("odd_band", F.pmod("key", F.lit(2)) == 1)
+    met = common.materialize(met.select("key", "class", "odd_band", F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")).alias("least")), "keys")
+    for _ in range(PEELS):
+        held = F.count(F.lit(1)).over(Window.partitionBy("class", "odd_band"))
+        met = common.materialize(several(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).drop("held")), "keys")
+    return met.withColumns({"leader": F.min("class").over(window), "size": F.count(F.lit(1)).over(window)}).drop("odd_band")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(class, n, hashes) of the wanted classes, from texts that hold them all."""
 
@@ -232,12 +270,9 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     id, null if there is none. Only doc_id and text are read. Sets are compared
     by 64-bit hashes of shingles and of sets.
     """
-    classes = common.materialize(_classes(docs, words), "classes")
+    classes = common.materialize(_classes(docs, words, share), "classes")
+    met = common.materialize(_met(docs, classes, words, share), "keys")
     window = Window.partitionBy("key")
-    met = _key_rows(docs, words, share)
-    met = met.withColumns({"leader": F.min("class").over(window), "last": F.max("class").over(window)})
-    met = met.filter(F.col("leader") < F.col("last")).select("key", "class", "leader").distinct()
-    met = common.materialize(met.withColumn("size", F.count(F.lit(1)).over(window)), "keys")
     wanted = common.materialize(met.select("class").distinct(), "wanted")
     few = wanted.count()
     first = classes.groupBy("class").agg(F.min("doc_id").alias("id")).join(common.maybe_broadcast(wanted, few), "class", "left_semi")
@@ -245,8 +280,8 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     sets = common.materialize(_sets(texts, common.maybe_broadcast(wanted, few), words), "sets")
 
     mild, hot = met.filter(F.col("size") <= HOT), met.filter(F.col("size") > HOT)
-    star = mild.filter(F.col("class") != F.col("leader")).select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    links = _verify(star, sets, share)
+    star = mild.filter(F.col("class") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    links = _verify(star.filter(F.col("n") >= F.col("least")).select("a", "b"), sets, share)
     if not hot.isEmpty():
         links = links.unionByName(_hot_links(hot, sets, share))
     links = common.materialize(links.distinct(), "links")
@@ -254,11 +289,13 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
 
     # Keys whose classes are still in several components: those meet one another.
     left = mild.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")).join(sets.select("class", "n"), "class")
-    left = left.withColumns({"c1": F.min("component").over(window), "c2": F.max("component").over(window)}).filter(F.col("c1") < F.col("c2")).select("key", "class", "leader", "component", "n")
-    left = common.materialize(left, "open")
-    one, two = left.toDF("key", "a", "leader", "c_a", "n_a"), left.toDF("key", "b", "leader_b", "c_b", "n_b").drop("leader_b")
-    rest = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("a") != F.col("leader")) & (F.col("c_a") != F.col("c_b")) & _near_size("n_a", "n_b", share))
-    more = common.materialize(_verify(rest.select("a", "b").distinct(), sets, share), "links")
+    left = left.withColumns({"c1": F.min("component").over(window), "c2": F.max("component").over(window)}).filter(F.col("c1") < F.col("c2"))
+    left = common.materialize(left.select("key", "class", "component", "n", "least"), "open")
+    one, two = left.toDF("key", "a", "c_a", "n_a", "least_a"), left.toDF("key", "b", "c_b", "n_b", "least_b")
+    rest = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _near_size("n_a", "n_b", share))
+    # Two classes of different components share only keys that are open or hot; the hot ones have compared them.
+    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("least_a", "least_b")).alias("least")).filter(F.col("n") >= F.col("least"))
+    more = common.materialize(_verify(rest.select("a", "b"), sets, share), "links")
     known = components.connected(links.unionByName(more)).toDF("class", "component")
 
     grouped = classes.join(known, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component"))

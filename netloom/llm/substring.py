@@ -237,8 +237,11 @@ def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     ids = docs.join(common.maybe_broadcast(firsts.select("doc_id").distinct(), count), "doc_id", "left_semi")
     texts = common.materialize(_with_class(ids).join(firsts, ["doc_id", "text_class"]).dropDuplicates(["doc_id", "text_class"]), "texts")
     found = _candidate_windows(texts, span)
+    # One row per shared window, summed up before the shuffle. As a table of its own it lets Spark split the
+    # join on a passage that very many documents hold.
     earliest = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    starts = found.join(earliest, ["a", "b"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "text_class").agg(F.collect_list("at").alias("starts"))
+    earliest = common.materialize(earliest, "earliest")
+    starts = found.join(common.maybe_broadcast(earliest, earliest.count()), ["a", "b"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "text_class").agg(F.collect_list("at").alias("starts"))
     changed = _cut(texts.join(starts, ["doc_id", "text_class"]), span)
     return overview, common.materialize(changed, "changed")
 

@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ LEVEL = 3
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 * 1024, 800, 8_000
 #: A block closes at so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4 * 2**20, 8192
-#: Pieces, and parts of pieces, whose ids a Python worker remembers.
+#: Pieces whose ids a Python worker remembers; of their parts, twice as many.
 CACHE = 600_000
 _HEAD = struct.Struct("<4sBB32sI")
 
@@ -69,24 +71,38 @@ class Encoder:
         self.cache = cache
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind, out = "H" if self.dtype.itemsize == 2 else "I", []
+        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = array(kind, x.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
+
+    def _parts(self, piece: str) -> list[str] | tuple[str, ...]:
+        """What the tokenizer's pattern cuts a blank and a piece into; plain words need no search."""
+        if piece.isalpha():
+            return (" " + piece,)
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return " " + piece[:-1], piece[-1]
+        return self.parts(" " + piece)
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of new pieces, each with a blank before it."""
         plain, odd = [], []
         for p in new:
             (odd if any(x in p for x in self.special) else plain).append(p)
-        cut = [self.parts(" " + p) for p in plain]
+        cut = [self._parts(p) for p in plain]
         unseen = list({t for parts in cut for t in parts if t not in self.known})
         self.known.update(zip(unseen, self._ids(unseen), strict=True))
         get = self.known.__getitem__
-        self.pieces.update((p, b"".join(map(get, parts))) for p, parts in zip(plain, cut, strict=True))
+        self.pieces.update((p, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for p, parts in zip(plain, cut, strict=True))
         self.pieces.update(zip(odd, self._ids([" " + p for p in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of each text."""
-        for held in (self.pieces, self.known):
-            if len(held) > self.cache:
+        for held, most in ((self.pieces, self.cache), (self.known, 2 * self.cache)):
+            if len(held) > most:
                 held.clear()
         split = [x.split(" ") for x in texts]
         new: set[str] = set()
