@@ -92,7 +92,8 @@ def _contaminated(prints: DataFrame, docs: DataFrame, bench: DataFrame, span: in
     short = _short(bench, span)
     windows = common.materialize(_windows(bench, span), "windows")
     items = bench.filter(F.col("item_id").isNotNull()).select(item_words(F.col("text")).alias("words"))
-    wanted = _kept(items, [], "words", span, k).select(F.explode("kept").alias("hash"))
+    # As a table: exploding the expression itself has Spark filter on its size first, which computes it anew for each k-gram.
+    wanted = common.materialize(_kept(items, [], "words", span, k), "benchmark-kept").select(F.explode("kept").alias("hash"))
     for n in short:
         wanted = wanted.union(items.filter(F.size("words") == n).select(F.explode(_grams(F.col("words"), F.size("words"), n))))
     wanted = common.materialize(wanted.distinct(), "benchmark-hashes")
