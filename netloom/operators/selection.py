@@ -6,13 +6,22 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.ranking import with_rank
 from netloom.operators.splitting import sample_n
+from netloom.sources.sinks import stored
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
+#: Points of a feature in a range of values, and of a class in a block of ranks.
+RANGE_ROWS = 20_000
+#: Beyond so many ranges they grow instead.
+MOST_RANGES = 2_000
+#: Rows of one value and class that are made from one row at a time.
+PIECE = 10_000
+
 
 def melt(df: DataFrame, features: Sequence[str], target: str, kind: str = "double") -> DataFrame:
     """(feature, idx, value, class): one row per feature and row, without a shuffle."""
@@ -74,16 +83,105 @@ def knn_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42) ->
     return max(0.0, float(value))
 
 
-def mi_continuous(df: DataFrame, features: Sequence[str], target: str, rows: int = 200_000, seed: int = 42) -> DataFrame:
-    """Mutual information of continuous features: one task per feature over a sample of at most ``rows`` rows."""
-    picked = sample_n(df.select(*features, target), rows, [*features, target], seed)
-
-    def score(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna()
-        return pd.DataFrame({"feature": [key[0]], "idx": [key[1]], "score": [knn_information(frame.value.to_numpy(), frame["class"].to_numpy(), seed=seed)]})
-
-    tall = melt(picked, features, target).withColumn("class", F.col("class").cast("string"))
-    return tall.groupBy("feature", "idx").applyInPandas(score, "feature string, idx int, score double")
+def _digamma_of(x: Column) -> Column:
+    """``_digamma`` as an expression, for positive integers."""
+    far = x.cast("double") + 6
+    y = 1 / far**2
+    low = F.lit(0.0)
+    for i in range(6):
+        low = low + 1 / (x.cast("double") + i)
+    return F.log(far) - 0.5 / far - y * (1 / 12 - y * (1 / 120 - y / 252)) - low
+
+
+def _noise(seed: int) -> Column:
+    """A standard normal number for the j-th of the rows with a feature's value and class, whatever their order."""
+    even = [(F.shiftrightunsigned(F.xxhash64("idx", "value", "class", "j", F.lit(seed), F.lit(i)), 11) + 0.5) / 2.0**53 for i in range(2)]
+    return F.sqrt(-2 * F.log(even[0])) * F.cos(2 * np.pi * even[1])
+
+
+def _points(df: DataFrame, features: Sequence[str], target: str, k: int, seed: int) -> DataFrame:
+    """(idx, class, size, near, x): each value scaled and noised as in ``knn_information``, its class's rows and neighbours."""
+    tall = melt(df, features, target).withColumn("class", F.col("class").cast("string")).filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("class").isNotNull())
+    cells = stored(tall.groupBy("idx", "value", "class").agg(F.count(F.lit(1)).alias("n")), "cells")
+    mean = cells.groupBy("idx").agg(F.sum("n").alias("rows"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.abs("value") * F.col("n")) / F.sum("n")).alias("far"))
+    spread = cells.join(F.broadcast(mean), "idx").groupBy("idx", "far").agg((F.max("value") > F.min("value")).alias("varies"), F.sqrt(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("n")) / F.sum("n")).alias("std"))
+    spread = spread.withColumn("std", F.when(F.col("varies") & (F.col("std") > 0), F.col("std")).otherwise(1.0)).withColumn("unit", 1e-10 * F.greatest(F.lit(1.0), F.col("far") / F.col("std"))).drop("far", "varies")
+    sizes = cells.groupBy("idx", "class").agg(F.sum("n").alias("size")).filter("size > 1").withColumn("near", F.least(F.lit(k).cast("long"), F.col("size") - 1))
+    # Equal values are dealt out in pieces, so that no task makes all the rows of a common one.
+    pieces = cells.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE)))).repartition("idx", "value", "class", "piece")
+    first = F.col("piece") * PIECE
+    rows = pieces.withColumn("j", F.explode(F.sequence(first, F.least(F.col("n"), first + PIECE) - 1))).join(F.broadcast(spread), "idx").join(F.broadcast(sizes), ["idx", "class"])
+    return stored(rows.select("idx", "class", "size", "near", (F.col("value") / F.col("std") + F.col("unit") * _noise(seed)).alias("x")), "points")
+
+
+def _ranges(points: DataFrame) -> Callable[[Column], Column]:
+    """x -> its range: one of those that cut each feature's points into parts of about RANGE_ROWS."""
+    most = points.groupBy("idx").count().agg(F.max("count")).first()[0] or 0
+    n = min(MOST_RANGES, max(1, -(-most // RANGE_ROWS)))
+    if n == 1:
+        return lambda x: F.lit(0)
+    cuts = points.groupBy("idx").agg(F.percentile_approx("x", [i / n for i in range(1, n)], 10 * n).alias("cuts")).collect()
+    bounds = {r.idx: np.array(r.cuts) for r in cuts}
+
+    @F.pandas_udf("int")
+    def place(idx: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int32)
+        for i in idx.unique():
+            own = (idx == i).to_numpy()
+            out[own] = np.searchsorted(bounds[i], x.to_numpy()[own], "right")
+        return pd.Series(out)
+
+    return lambda x: place(F.col("idx"), x)
+
+
+def _reach(points: DataFrame, ranges: Callable[[Column], Column], k: int) -> DataFrame:
+    """(idx, class, rank, x, reach): half the width of the window that ends short of the k-th neighbour within the class.
+
+    Classes are cut by rank into blocks, each with the k rows before and after it.
+    """
+    ranked = with_rank(points, ranges(F.col("x")), [F.col("x")], ["idx", "class"])
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("rank") + s) / RANGE_ROWS) for s in (-k, 0, k)]))
+    held = ranked.withColumn("block", F.explode(blocks))
+    line = Window.partitionBy("idx", "class", "block").orderBy("rank")
+    gaps = [g for j in range(1, k + 1) for g in (F.col("x") - F.lag("x", j).over(line), F.lead("x", j).over(line) - F.col("x"))]
+    held = held.withColumn("gaps", F.array_sort(F.array_compact(F.array(*gaps)))).filter(F.col("block") == F.floor(F.col("rank") / RANGE_ROWS))
+    return held.select("idx", "class", "rank", "x", (F.element_at("gaps", F.col("near").cast("int")) * (1 - 1e-9)).alias("reach"))
+
+
+def _around(reach: DataFrame, ranges: Callable[[Column], Column]) -> DataFrame:
+    """(idx, class, rank, around): the feature's points, of any class, within reach of each.
+
+    Points and both ends of their windows are put in one order, and points are
+    counted up to each end: a lower end comes before equal points, an upper one after.
+    """
+    ends = [F.struct(at.alias("at"), F.lit(kind).alias("kind")) for at, kind in ((F.col("x") - F.col("reach"), -1), (F.col("x"), 0), (F.col("x") + F.col("reach"), 1))]
+    line = reach.select("idx", "class", "rank", F.inline(F.array(*ends)))
+    line = line.withColumn("range", ranges(F.col("at"))).withColumn("point", (F.col("kind") == 0).cast("long"))
+    before = Window.partitionBy("idx").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = line.groupBy("idx", "range").agg(F.sum("point").alias("held"))
+    offsets = offsets.select("idx", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("idx", "range").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("upto", F.sum("point").over(within)).filter("kind <> 0").join(F.broadcast(offsets), ["idx", "range"])
+    return line.groupBy("idx", "class", "rank").agg(F.sum(F.col("kind") * (F.col("before") + F.col("upto"))).alias("around"))
+
+
+def mi_continuous(df: DataFrame, features: Sequence[str], target: str, rows: int | None = None, seed: int = 42, k: int = 3) -> DataFrame:
+    """Mutual information of continuous features by ``knn_information``'s estimate, over all rows or a sample of at most ``rows``.
+
+    Ranges of values and blocks of ranks hold a bounded part of a feature each, so no task holds a feature.
+    """
+    picked = df.select(*features, target)
+    picked = picked if rows is None else sample_n(picked, rows, [*features, target], seed)
+    points = _points(picked, features, target, k, seed)
+    ranges = _ranges(points)
+    around = _around(stored(_reach(points, ranges, k), "reach"), ranges)
+    sizes = points.groupBy("idx", "class", "size", "near").agg(F.count(F.lit(1)).alias("n"))
+    own = sizes.groupBy("idx").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * (_digamma_of(F.col("near")) - _digamma_of(F.col("size")))) / F.sum("n")).alias("own"))
+    others = around.groupBy("idx", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("idx").agg((F.sum(F.col("n") * _digamma_of(F.col("around"))) / F.sum("n")).alias("others"))
+    score = F.greatest(F.lit(0.0), _digamma_of(F.col("all")) + F.col("own") - F.col("others"))
+    scores = own.join(others, "idx").select("idx", score.alias("score"))
+    every = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(features)], "feature string, idx int")
+    return every.join(scores, "idx", "left").select("feature", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

@@ -446,12 +446,12 @@ def mi_discrete(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mi_continuous(spark: SparkSession, d: str) -> DataFrame:
-    return selection.mi_continuous(lines(spark, d), NUMBERS, "l_returnflag", 20_000)
+    return selection.mi_continuous(lines(spark, d), NUMBERS, "l_returnflag")
 
 
 @query()
 def stability_selection(spark: SparkSession, d: str) -> DataFrame:
-    return selection.stable_features(lines(spark, d), NUMBERS, "l_returnflag", top=2, rows=5_000)
+    return selection.stable_features(lines(spark, d), NUMBERS, "l_returnflag", top=2)
 
 
 # --- evaluation -----------------------------------------------------------------

@@ -39,6 +39,43 @@ def test_continuous_information():
     assert selection.knn_information(y * 10 + rng.standard_normal(4000), y) == pytest.approx(np.log(2), abs=0.02)
 
 
+def test_continuous_information_over_ranges_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(selection, "RANGE_ROWS", 37)
+    monkeypatch.setattr(selection, "PIECE", 10)
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"type": rng.choice(["a", "b", "c", "few"], 900, p=[0.6, 0.3, 0.09, 0.01])})
+    frame["x"] = rng.standard_normal(900) + 2 * (frame.type == "a") + 9 * (frame.type == "few")
+    frame["y"] = rng.exponential(100, 900)
+    frame["tied"] = np.where(frame.type == "b", 4.0, rng.integers(0, 5, 900))
+    frame["same"] = 0.1
+    frame.loc[900] = ["alone", 0.0, 5.0, 1.0, 0.1]
+    columns = ["x", "y", "tied", "same"]
+    df = spark.createDataFrame(frame).unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1.0, 0.1), ("a", None, None, None, None)], "type string, x double, y double, tied double, same double"))
+    got = {r.feature: r.score for r in selection.mi_continuous(df, columns, "type").collect()}
+    for c in columns[:2]:
+        assert got[c] == pytest.approx(selection.knn_information(frame[c].to_numpy(), frame.type.to_numpy()), abs=1e-6)
+    for c in columns[2:]:
+        tries = [selection.knn_information(frame[c].to_numpy(), frame.type.to_numpy(), seed=s) for s in range(9)]
+        assert min(tries) - 0.02 <= got[c] <= max(tries) + 0.02
+    assert {r.feature: r.score for r in selection.mi_continuous(df.repartition(5), columns, "type").collect()} == pytest.approx(got, abs=1e-9)
+
+
+def test_continuous_information_queries_cover_the_table(spark, monkeypatch):
+    from netloom.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_extendedprice", "l_returnflag").toPandas()
+    got = {r.feature: r.score for r in queries.QUERIES["mi_continuous"](spark, sf).collect()}
+    every = selection.knn_information(table.l_extendedprice.to_numpy(float), table.l_returnflag.to_numpy())
+    assert got["l_extendedprice"] == pytest.approx(every, abs=5e-4)
+    asked = []
+    monkeypatch.setattr(selection, "sample_n", lambda df, n, *rest: asked.append(n) or splitting.sample_n(df, n, *rest))
+    assert queries.QUERIES["mi_continuous"](spark, "/root/testdata/sf0.001").count() == 4
+    assert asked == []
+    assert queries.QUERIES["stability_selection"](spark, "/root/testdata/sf0.001").count() >= 2
+    assert asked == [200_000] * 3
+
+
 def test_stability_keeps_informative(toy):
     df, _ = toy
     kept = [r.feature for r in selection.stable_features(df, ["a", "b", "c"], "type", top=2).collect()]
