@@ -95,9 +95,9 @@ def _keys(own: np.ndarray, share: int) -> tuple[np.ndarray, list[int]]:
 
 
 def _classes(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """(doc_id, n_shingles, class, even, odd): class is a hash of the shingle set, null for an empty one.
+    """(doc_id, digest, n_shingles, class, even, odd): class is a hash of the shingle set, null for an empty one.
 
-    even, odd: how many keys of an even or odd band a linked set shares at least.
+    digest: a hash of the text. even, odd: how many keys of an even or odd band a linked set shares at least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +106,9 @@ def _classes(docs: DataFrame, words: int, share: int) -> DataFrame:
             for i, own in shingle_sets(batch.column(1), words):
                 if len(own):
                     n[i], digest[i], least[i] = len(own), _digest(own), _keys(own, share)[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, mask=n == 0), pa.array(least[:, 0]), pa.array(least[:, 1])], ["doc_id", "n_shingles", "class", "even", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(digest, mask=n == 0), pa.array(least[:, 0]), pa.array(least[:, 1])], ["doc_id", "digest", "n_shingles", "class", "even", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, even int, odd int")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, digest long, n_shingles long, class long, even int, odd int")
 
 
 def _key_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
@@ -261,15 +261,8 @@ def _hot_links(hot: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return rows.groupBy("cluster", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
-
-    Words lie between ASCII blanks, A-Z lower-cased. Null, empty and blank texts
-    have no shingles, link with nothing and are their own component. Rows with
-    equal texts are linked; a row with a null id gets its component's smallest
-    id, null if there is none. Only doc_id and text are read. Sets are compared
-    by 64-bit hashes of shingles and of sets.
-    """
+def _grouped(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, component) of each row; component is one of its classes, null without shingles."""
     classes = common.materialize(_classes(docs, words, share), "classes")
     met = common.materialize(_met(docs, classes, words, share), "keys")
     window = Window.partitionBy("key")
@@ -298,16 +291,42 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     more = common.materialize(_verify(rest.select("a", "b"), sets, share), "links")
     known = components.connected(links.unionByName(more)).toDF("class", "component")
 
-    grouped = classes.join(known, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component"))
+    return classes.join(known, "class", "left").select("doc_id", "digest", "n_shingles", F.coalesce("component", "class").alias("component"))
+
+
+def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    Words lie between ASCII blanks, A-Z lower-cased. Null, empty and blank texts
+    have no shingles, link with nothing and are their own component. Rows with
+    equal texts are linked; a row with a null id gets its component's smallest
+    id, null if there is none. Only doc_id and text are read. Sets are compared
+    by 64-bit hashes of shingles and of sets.
+    """
+    grouped = _grouped(docs, words, share).drop("digest")
     least = grouped.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
     return grouped.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
+    """One row of each component, the one with the smallest id, with all its columns.
 
-    Of rows with equal ids in such a place, one stays. Rows without an id or without words all stay.
+    Rows go by id and text, so other texts under the same id stay. Of rows with
+    equal ids one text stays, and of equal rows any one. Rows without an id keep
+    one of their own in each component. Rows without words all stay.
     """
-    found = common.materialize(join(docs, words, share), "components")
-    go = found.filter((F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__go")).distinct()
-    return docs.join(common.maybe_broadcast(go, go.count()), docs["doc_id"] == F.col("__go"), "left_anti")
+    found = _grouped(docs, words, share).filter(F.col("component").isNotNull())
+    found = common.materialize(found.groupBy("doc_id", "digest", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("named", F.col("doc_id").isNotNull()), "components")
+    stays = found.groupBy("component", "named").agg(F.min(F.struct("doc_id", "digest")).alias("stays"), F.sum("n").alias("rows"))
+    stays = common.materialize(stays.filter("rows > 1").drop("rows"), "stays")
+    once = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))
+    marks = found.join(common.maybe_broadcast(stays, stays.count()), ["component", "named"]).withColumn("once", once).filter(~F.col("once") | (F.col("n") > 1))
+    marks = common.materialize(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__text"), "once"), "marks")
+    repeats = marks.filter("once")
+    keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_text": F.xxhash64("text")})
+    on = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_text") == F.col("__text"))
+    kept = keyed.join(common.maybe_broadcast(marks.drop("once"), marks.count()), on, "left_anti")
+    few = repeats.count()
+    if few:
+        kept = kept.unionByName(keyed.join(common.maybe_broadcast(repeats.drop("once"), few), on, "left_semi").dropDuplicates(["__own_id", "__own_text"]))
+    return kept.drop("__own_id", "__own_text")

@@ -202,6 +202,17 @@ def test_jaccard_join_nulls_and_repeats(spark):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 3, 9]
 
 
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    text, near, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("t", "t", "u"))
+    near += " end"
+    kept = lambda rows: sorted(((r.doc_id or -1), r.text or "") for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert kept([(3, text), (3, text)]) == [(3, text)]
+    assert kept([(3, text), (3, near), (3, other)]) in ([(3, text), (3, other)], [(3, near), (3, other)])
+    assert kept([(3, text), (5, near), (5, other)]) == [(3, text), (5, other)]
+    assert len(kept([(None, text), (None, near), (None, text)])) == 1
+    assert kept([(None, text), (None, other), (None, None), (None, None)]) == kept([(None, text), (None, text), (None, other), (None, None), (None, None)])
+
+
 def test_overlaps_over_column_blocks(monkeypatch):
     monkeypatch.setattr(ngram_join, "COLUMNS", 7)
     rng = np.random.default_rng(0)
