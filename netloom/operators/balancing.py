@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one oversampling task holds: larger classes are dealt into chunks of about so many.
+from netloom.operators.ranking import with_rank
+from netloom.sources.sinks import stored
+
+#: Rows of a block; an oversampling task compares two blocks of a class.
 CHUNK = 5000
+#: Rows that are drawn from one row at a time.
+PIECE = 10_000
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -38,47 +43,71 @@ def focal_alpha(df: DataFrame, target: str, classes: DataFrame, low: float = 0.5
     return counts.select(target, "n", F.least(F.greatest(alpha, F.lit(low)), F.lit(high)).alias("alpha"))
 
 
+def _nearest(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """(__class, __rank, near): the ranks of each row's k nearest of its class, nearest first; of equal ones, lower ranks.
+
+    rows: __class, __rank, __block and __blocks, how many the class has. A task
+    compares the rows of one block with those of another of the same class.
+    """
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
+    bases = rows.withColumn("__other", other).withColumn("__seeks", F.lit(True))
+    found = rows.withColumnsRenamed({"__block": "__other"}).withColumn("__block", other).withColumn("__seeks", F.lit(False))
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["__seeks"]], frame[~frame["__seeks"]].sort_values("__rank")
+        x, y = left[list(features)].to_numpy(float), right[list(features)].to_numpy(float)
+        own, ranks = left["__rank"].to_numpy(), right["__rank"].to_numpy()
+        tops, gaps, owners = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for i in range(0, len(x), 512):
+            d = np.zeros((len(x[i : i + 512]), len(y)))
+            for j in range(x.shape[1]):
+                d += (x[i : i + 512, j, None] - y[None, :, j]) ** 2
+            d[np.isnan(d)] = np.inf
+            for at, row in enumerate(d):
+                some = np.flatnonzero(row <= np.partition(row, k)[k]) if len(row) > k + 1 else np.arange(len(row))
+                some = some[ranks[some] != own[i + at]]
+                some = some[np.argsort(row[some], kind="stable")[:k]]
+                tops.append(ranks[some])
+                gaps.append(row[some])
+                owners.append(np.full(len(some), own[i + at]))
+        out = {"__rank": np.concatenate(owners), "gap": np.concatenate(gaps), "rank": np.concatenate(tops)}
+        return pd.DataFrame({"__class": np.full(len(out["rank"]), key[0], np.int32), **out})
+
+    tops = bases.unionByName(found).groupBy("__class", "__block", "__other").applyInPandas(compare, "__class int, __rank long, gap double, rank long")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("gap", "rank"))), 1, k)
+    return tops.groupBy("__class", "__rank").agg(F.transform(best, lambda t: t["rank"]).alias("near"))
+
+
 def smote(df: DataFrame, features: Sequence[str], target: str, key: str, seed: int = 42, neighbours: int = 5, chunk: int = CHUNK) -> DataFrame:
     """The rows, and synthetic ones until every class has as many as the largest.
 
     A synthetic row lies between a row and one of its k nearest of the same class,
     k = min(neighbours, max(1, smallest class - 1)); nothing is added if a class has
-    fewer than two rows. Classes of more than ``chunk`` rows look for neighbours
-    within hashed chunks, so that no task holds a class. Output: target, features, synthetic.
+    fewer than two rows. Neighbours are sought in the whole class, by pairs of blocks
+    of ``chunk`` rows; the rows made do not depend on ``chunk``. Output: target, features, synthetic.
     """
     counts = class_counts(df, target).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
     own = df.select(target, *features, F.lit(False).alias("synthetic"))
     if not counts.least or counts.least < 2:
         return own
     k = min(neighbours, max(1, counts.least - 1))
-    sizes = class_counts(df, target).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).select(F.col(target).alias("__class"), "n", "chunks")
-    dealt = df.join(F.broadcast(sizes), F.col(target).eqNullSafe(F.col("__class"))).withColumn("__chunk", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("chunks")))
-    every = Window.partitionBy(target)
-    held = dealt.groupBy(target, "__chunk", "n").agg(F.count(F.lit(1)).alias("held"))
-    # Each chunk makes its part of what the class lacks; running sums let the parts add up exactly.
-    upto = Window.partitionBy(target).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
-    missing = F.lit(counts.most) - F.col("n")
-    make = F.floor(missing * F.sum("held").over(upto) / F.sum("held").over(every)) - F.floor(missing * (F.sum("held").over(upto) - F.col("held")) / F.sum("held").over(every))
-    plan = held.select(F.col(target).alias("__t"), F.col("__chunk").alias("__c"), make.cast("long").alias("__make"))
-    dealt = dealt.join(F.broadcast(plan), F.col(target).eqNullSafe(F.col("__t")) & (F.col("__chunk") == F.col("__c"))).select(target, key, *features, "__chunk", "__make")
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["__make"].iloc[0])
-        frame = frame.sort_values(key)
-        x = frame[list(features)].to_numpy(float)
-        if n <= 0 or len(x) < 2:
-            return pd.DataFrame({target: frame[target].iloc[:0], **{c: np.zeros(0) for c in features}})
-        rng = np.random.default_rng([seed, len(x), int(frame["__chunk"].iloc[0])])
-        base = rng.integers(0, len(x), n)
-        near = np.zeros((len(x), min(k, len(x) - 1)), np.int64)
-        for i in range(0, len(x), 512):
-            d = ((x[i : i + 512, None, :] - x[None, :, :]) ** 2).sum(2) if len(x) * len(features) < 20_000 else np.maximum(0, (x[i : i + 512] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[i : i + 512] @ x.T)
-            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
-            near[i : i + 512] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
-        other = near[base, rng.integers(0, near.shape[1], n)]
-        made = x[base] + rng.random((n, 1)) * (x[other] - x[base])
-        return pd.DataFrame({target: np.repeat(frame[target].iloc[0], n), **{c: made[:, j] for j, c in enumerate(features)}})
-
-    kind = df.schema[target].dataType.simpleString()
-    made = dealt.groupBy(target, "__chunk").applyInPandas(grow, f"`{target}` {kind}, " + ", ".join(f"`{c}` double" for c in features))
-    return own.select(target, *[F.col(c).cast("double").alias(c) for c in features], "synthetic").unionByName(made.withColumn("synthetic", F.lit(True)))
+    sizes = class_counts(df, target).withColumn("__class", F.row_number().over(Window.orderBy(target))).withColumn("__missing", F.lit(counts.most) - F.col("n")).filter("__missing > 0")
+    sizes = F.broadcast(stored(sizes.select(F.col(target).alias("__target"), "__class", "n", "__missing"), "classes"))
+    short = df.select(target, F.col(key).alias("__key"), *[F.col(c).cast("double").alias(c) for c in features]).join(sizes, F.col(target).eqNullSafe(F.col("__target")))
+    ranked = with_rank(short, F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(4096)), [F.col("__key"), *[F.col(c) for c in features]], ["__class"], "__rank")
+    rows = stored(ranked.select("__class", "__rank", "n", *features), "rows")
+    blocks = rows.withColumns({"__block": F.floor((F.col("__rank") - 1) / chunk), "__blocks": F.ceil(F.col("n") / chunk)}).drop("n")
+    near = _nearest(blocks, features, k)
+
+    # The i-th row that a class lacks is drawn by hashes: a row of the class, one of its neighbours, a place between.
+    first = F.col("__piece") * PIECE
+    pieces = sizes.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__missing") - 1) / PIECE)))).repartition("__class", "__piece")
+    draws = pieces.withColumn("__i", F.explode(F.sequence(first, F.least(F.col("__missing"), first + PIECE) - 1)))
+    drawn = [F.xxhash64("__class", "__i", F.lit(seed), F.lit(i)) for i in range(3)]
+    draws = draws.select("__target", "__class", (F.pmod(drawn[0], F.col("n")) + 1).alias("__rank"), F.pmod(drawn[1], F.lit(k)).cast("int").alias("__pick"), (F.shiftrightunsigned(drawn[2], 11) / 2.0**53).alias("__part"))
+    draws = draws.join(near, ["__class", "__rank"]).withColumn("__near", F.element_at("near", F.col("__pick") + 1)).drop("near")
+    draws = draws.join(rows.drop("n"), ["__class", "__rank"])
+    others = rows.select("__class", F.col("__rank").alias("__near"), *[F.col(c).alias(f"__to_{c}") for c in features])
+    made = draws.join(others, ["__class", "__near"])
+    made = made.select(F.col("__target").alias(target), *[(F.col(c) + F.col("__part") * (F.col(f"__to_{c}") - F.col(c))).alias(c) for c in features], F.lit(True).alias("synthetic"))
+    return own.select(target, *[F.col(c).cast("double").alias(c) for c in features], "synthetic").unionByName(made)

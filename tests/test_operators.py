@@ -138,6 +138,25 @@ def test_smote_balances_within_classes(toy):
     assert {r.weight for r in weights} == {1.0}
 
 
+def test_smote_neighbours_come_from_the_whole_class(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"id": range(160), "a": rng.standard_normal(160), "b": rng.standard_normal(160), "type": ["most"] * 100 + ["some"] * 47 + ["few"] * 13})
+    df = spark.createDataFrame(frame)
+    outs = [balancing.smote(df.repartition(n), ["a", "b"], "type", "id", chunk=chunk).toPandas() for n, chunk in ((1, 5000), (3, 4))]
+    one, two = (out.sort_values(["type", "synthetic", "a", "b"]).reset_index(drop=True) for out in outs)
+    pd.testing.assert_frame_equal(one, two)
+    assert set(two.groupby("type").size()) == {100}
+    for t, part in two[two.synthetic].groupby("type"):
+        x = frame[frame.type == t][["a", "b"]].to_numpy()
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        start = np.repeat(x, 5, axis=0)
+        way = x[np.argsort(d, axis=1)[:, :5].ravel()] - start
+        for row in part[["a", "b"]].to_numpy():
+            share = np.clip(((row - start) * way).sum(1) / (way**2).sum(1), 0, 1)
+            assert np.abs(start + share[:, None] * way - row).sum(1).min() < 1e-9
+
+
 def test_smote_skips_single_rows(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "a"), (3, 5.0, "b")], "id long, x double, type string")
     assert balancing.smote(df, ["x"], "type", "id").count() == 3
