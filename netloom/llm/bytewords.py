@@ -19,11 +19,15 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_STEP), -1, 2**64))
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For a second hash of each word, from its bytes anew: other bytes, another step.
+_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP_2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
+_INVERSE_2 = np.uint64(pow(int(_STEP_2), -1, 2**64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _raised(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of a step."""
+    if len(_powers.get(int(base), ())) < n:
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        _powers[int(base)] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[int(base)]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    return _raised(_STEP, n), _raised(_INVERSE, n)
 
 
 class Block:
@@ -70,6 +78,14 @@ class Block:
             np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[:n], out=sums[1:])
             self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
+    def second(self) -> np.ndarray:
+        """Another hash of each word of a block that isn't lower-cased, independent of the first."""
+        n = len(self.data)
+        up, down = _raised(_STEP_2, n + 1), _raised(_INVERSE_2, n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_2[self.data] * up[:n], out=sums[1:])
+        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
     def runs(self, k: int) -> np.ndarray:
         """The hash of each run of k words by its first word; runs that cross a document's end mean nothing."""
         if len(self.hashes) < k:

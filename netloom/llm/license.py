@@ -152,10 +152,10 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
     parts = F.split("directory", "/")
     depths = F.explode(F.sequence(F.lit(0), F.when(F.col("directory") == "", F.lit(0)).otherwise(F.size(parts)))).alias("depth")
     above = directories.select("directory", depths).withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
-    found = above.join(common.maybe_broadcast(stated, stated.count(), 50_000), "ancestor")
+    found = above.join(common.maybe_broadcast(stated), "ancestor")
     nearest = found.groupBy("directory").agg(F.max_by(F.struct("inherited_from", "theirs", "their_score"), "depth").alias("n")).select("directory", "n.*")
     nearest = common.materialize(nearest, "nearest")
-    out = own.join(common.maybe_broadcast(nearest, nearest.count(), 50_000), "directory", "left")
+    out = own.join(common.maybe_broadcast(nearest), "directory", "left")
     states = F.col("own").isNotNull()
     return out.select(
         "doc_id", "path", F.coalesce("own", "theirs").alias("license"),

@@ -63,7 +63,7 @@ def shards(sized: DataFrame, limit: int = SHARD_BYTES) -> tuple[DataFrame, int,
     leaves, large = _leaves(cells.withColumn("h", F.call_function("shiftleft", F.col("cell"), F.lit(BITS - bits))), 0, bits, limit)
     at, parts = bits, []
     while at < BITS and not (large := common.materialize(large, "large")).isEmpty():
-        rows = sized.withColumn("prefix", _prefix(F.col("h"), F.lit(at))).join(common.maybe_broadcast(large, large.count()), "prefix", "left_semi")
+        rows = sized.withColumn("prefix", _prefix(F.col("h"), F.lit(at))).join(common.maybe_broadcast(large), "prefix", "left_semi")
         rows = common.materialize(rows.groupBy("h").agg(F.sum("bytes").alias("bytes")), "rows")
         deeper = min(BITS, at + 12)
         more, large = _leaves(rows.select("h", "bytes", F.col("h").alias("low"), F.col("h").alias("high")), at, deeper, limit)
@@ -93,9 +93,9 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     entries = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(bits) - F.col("depth"))
     first = F.call_function("shiftleft", F.col("prefix"), F.lit(bits) - F.col("depth"))
     directory = leaves.select(F.explode(F.sequence(first, first + entries - 1)).alias("cell"), "depth", "prefix", F.col("bytes").alias("shard_bytes"))
-    out = sized.withColumn("cell", _prefix(F.col("h"), F.lit(bits))).join(common.maybe_broadcast(directory, 2**bits), "cell", "left")
+    out = sized.withColumn("cell", _prefix(F.col("h"), F.lit(bits))).join(common.maybe_broadcast(directory), "cell", "left")
     rare = deep.toDF("h", "deep_depth", "deep_prefix", "deep_bytes")
-    out = out.join(common.maybe_broadcast(rare, deep.count()), "h", "left")
+    out = out.join(common.maybe_broadcast(rare), "h", "left")
     shard = F.expr("lpad(bin(coalesce(prefix, deep_prefix)), coalesce(depth, deep_depth), '0')")
     shard = F.when(F.coalesce("depth", "deep_depth") == 0, F.lit("")).otherwise(shard)
     new = {"n_bytes": F.col("n_bytes"), "shard": shard, "shard_bytes": F.coalesce("shard_bytes", "deep_bytes")}
