@@ -1,10 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in native column expressions.
 
 A sketch keeps every 64-bit shingle hash below a fixed fraction of the hash
-range, so the sketch of a union is the union of sketches and the containment of
-a short text in a very long one can be estimated. A text of few distinct
-shingles keeps them all: its sketch has fraction 1 and is cut down to the common
-fraction when it meets a scaled one.
+range, so the sketch of a union follows from the sketches and the containment of
+a short text in a very long one can be estimated. Where no hash is below it, the
+smallest one stands for the text, whatever its length.
 """
 
 from __future__ import annotations
@@ -17,10 +16,8 @@ from netloom.llm import common
 WORDS = 5
 #: One hash of so many is kept.
 SCALE = 8
-#: Texts of at most so many distinct shingles keep every hash.
-KEEP_ALL = 64
-#: Neighbouring documents that share a window bucket.
-BUCKET_DOCS = 64
+#: Neighbouring documents that share a window bucket; quantiles of the ids that cut the table before that.
+BUCKET_DOCS, CELLS = 64, 1024
 
 _LOWEST = -(2**63)
 
@@ -36,58 +33,78 @@ def shingle_hashes(words: Column, size: int = WORDS) -> Column:
 
 
 def scaled(hashes: Column, scale: int = SCALE) -> Column:
+    """The hashes below the fraction, sorted; where none is, the smallest one alone."""
     limit = _LOWEST + 2**64 // scale
-    return F.filter(hashes, lambda h: h < F.lit(limit))
+    below = F.sort_array(F.filter(hashes, lambda h: h < F.lit(limit)))
+    return F.when((F.size(below) > 0) | (F.size(hashes) == 0), below).otherwise(F.array(F.array_min(hashes)))
 
 
-def with_sketch(df: DataFrame, text: str, sketch: str, size: int = WORDS, scale: int = SCALE, keep_all: int = KEEP_ALL) -> DataFrame:
-    """Add ``sketch``: struct(whole boolean, hashes array<long>), the hashes sorted. Null text: empty."""
+def with_sketch(df: DataFrame, text: str, sketch: str, size: int = WORDS, scale: int = SCALE) -> DataFrame:
+    """Add ``sketch``: array<long>, see ``scaled``. Null text, no words: empty."""
     kept = [c for c in df.columns if c != sketch]
     out = df.select(*[F.col(f"`{c}`") for c in kept], common.words_of(F.lower(F.col(text))).alias("__words"))
     out = out.select(*[F.col(f"`{c}`") for c in kept], shingle_hashes(F.col("__words"), size).alias("__all"))
-    whole = F.size("__all") <= keep_all
-    hashes = F.sort_array(F.when(whole, F.col("__all")).otherwise(scaled(F.col("__all"), scale)))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.struct(whole.alias("whole"), hashes.alias("hashes")).alias(sketch))
-
-
-def _common(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
-    """The hash arrays of two sketches at their common fraction."""
-    both = a["whole"] == b["whole"]
-    cut = lambda s: F.when(both | ~s["whole"], s["hashes"]).otherwise(scaled(s["hashes"], scale))
-    return cut(a), cut(b)
+    return out.select(*[F.col(f"`{c}`") for c in kept], scaled(F.col("__all"), scale).alias(sketch))
 
 
 def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Estimated Jaccard similarity of two sketches, 0 to 1. Equal sketches (also of two empty texts): 1."""
-    x, y = _common(a, b, scale)
-    shared = F.size(F.array_intersect(x, y)).cast("double")
-    union = F.size(x) + F.size(y) - shared
-    return F.when(a["hashes"] == b["hashes"], F.lit(1.0)).when(union > 0, shared / union).otherwise(F.lit(0.0))
+    """Estimated Jaccard similarity of two sketches, 0 to 1. Two sketches of no shingles: 1.
+
+    Two sketches without a hash below the fraction are compared by their smallest
+    hashes, which agree with a probability equal to the similarity.
+    """
+    shared = F.size(F.array_intersect(a, b)).cast("double")
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(1.0))
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Estimated share of the shingles of ``a`` that ``b`` has too; 1 for an empty ``a``, null when ``a`` kept no hash."""
-    x, y = _common(a, b, scale)
-    return F.when(F.size(a["hashes"]) + F.when(a["whole"], 0).otherwise(1) == 0, F.lit(1.0)).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+    """Estimated share of the shingles of ``a`` that ``b`` has too; 1 for an empty ``a``, null where ``a`` has no hash below the fraction."""
+    limit = _LOWEST + 2**64 // scale
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.array_min(a) < limit, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of the union of two texts' shingles, at the common fraction."""
-    x, y = _common(a, b, scale)
-    return F.struct((a["whole"] & b["whole"]).alias("whole"), F.sort_array(F.array_union(x, y)).alias("hashes"))
+    """The sketch of the union of two texts' shingles, exactly the one that a text with all of them would have."""
+    return scaled(F.array_union(a, b), scale)
 
 
 def as_string(sketch: Column, scale: int = SCALE) -> Column:
     """A printable form: the fraction, then the hashes in hexadecimal."""
-    return F.concat(F.when(sketch["whole"], "1/1:").otherwise(f"1/{scale}:"), F.array_join(F.transform(sketch["hashes"], lambda h: F.hex(h)), ","))
+    return F.concat(F.lit(f"1/{scale}:"), F.array_join(F.transform(sketch, lambda h: F.hex(h)), ","))
 
 
-def _next_of(keys: DataFrame, key: str, fan: int = 4096) -> DataFrame:
-    """(key, next): each distinct key with the next larger one, the largest with the smallest.
+def _cells(docs: DataFrame, ids: str, h: str) -> Column:
+    """An order-keeping bucket of (id, h): about BUCKET_DOCS rows, however unevenly the ids lie.
 
-    Windows run over groups of ``fan`` neighbouring key values; only one row for each group meets in one task.
+    Quantiles cut the ids into cells of about 1 / CELLS of the rows, and each cell
+    is cut evenly. One id in more than two quantiles' rows (or null ids as many)
+    is dealt further by the first 10 of the 63 bits of h.
+    """
+    cuts, count, named = docs.agg(F.percentile_approx(ids, [k / CELLS for k in range(CELLS + 1)], 20 * CELLS), F.count(F.lit(1)), F.count(ids)).first()
+    cuts = cuts or [0, 0]
+    hot = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    cuts = sorted(set(cuts))
+    per = max(1, count // (BUCKET_DOCS * max(1, len(cuts) - 1)))
+    # The last cut that isn't above the id, by halving steps.
+    steps = F.array(*[F.lit(2**k) for k in reversed(range(max(1, (len(cuts) - 1).bit_length())))])
+    longs = lambda values: F.expr(f"array({', '.join(f"bigint('{x}')" for x in values)})")
+    low, top = longs(cuts), len(cuts) - 1
+    cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= top) & (F.coalesce(F.get(low, at + step), F.lit(2**63 - 1)) <= F.col(ids)), at + step).otherwise(at))
+    # Even parts of a cell; one that spans more than half the range of a long counts as that half.
+    width = longs(max(1, -(-(min(b - a, 2**62) + 1) // per)) for a, b in zip(cuts, [*cuts[1:], cuts[-1]], strict=True))
+    inside = F.least(F.floor((F.col(ids).cast("decimal(20,0)") - F.get(low, cell)) / F.get(width, cell)), F.lit(2**38)).cast("long")
+    none, first = F.lit(0).cast("long"), F.shiftright(h, 53)
+    among = F.when(F.col(ids).isin(hot), first).otherwise(none) if hot else none
+    return F.when(F.col(ids).isNull(), (first if count - named > count // CELLS else none) - 1024).otherwise(F.shiftleft(cell.cast("long"), 50) + F.shiftleft(inside, 10) + among)
+
+
+def _next_of(keys: DataFrame, key: str) -> DataFrame:
+    """(key, next): each distinct bucket with the next larger one, the largest with the smallest.
+
+    Windows run over the buckets of a cell; only one row for each cell meets in one task.
     """
-    keys = keys.select(F.col(key).alias("key")).distinct().withColumn("group", F.expr(f"key div {fan}"))
+    keys = keys.select(F.col(key).alias("key")).distinct().withColumn("group", F.shiftright("key", 50))
     within = keys.withColumn("next", F.lead("key").over(Window.partitionBy("group").orderBy("key")))
     heads = keys.groupBy("group").agg(F.min("key").alias("head"))
     order = Window.orderBy("group")
@@ -100,17 +117,17 @@ def fingerprint_edits(docs: DataFrame, size: int = WORDS, scale: int = SCALE) ->
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. A null text is empty; repeated ids follow one
-    another in text order; null ids come first; a table of one document is its
-    own next; an empty table gives no rows. Columns besides doc_id and text are
-    not read. The texts cross one shuffle, keyed by ranges of neighbouring ids;
-    only the first document of each range is sent once more.
+    another in the order of their texts' hashes; null ids come first; a table of
+    one document is its own next; an empty table gives no rows. Columns besides
+    doc_id and text are not read. The texts cross one shuffle, keyed by ranges of
+    neighbouring ids; only the first document of each range is sent once more.
     """
-    low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) * BUCKET_DOCS // max(1, count)))
-    bucket = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(int((low or 0) / width) - 1))
-    base = with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch", size, scale)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.shiftright(F.xxhash64("text"), 1) + F.lit(2**62))
+    bucket = _cells(docs, "doc_id", "h")
+    base = with_sketch(docs, "text", "sketch", size, scale)
     base = base.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+    order = Window.partitionBy("bucket").orderBy("doc_id", "h", "text")
     # Both uses below need the same columns of ``base``, so Spark computes and shuffles it once.
     inner = base.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order), "before": F.lag("bucket").over(order)})
     heads = inner.filter(F.col("before").isNull()).select(F.col("bucket").alias("next"), F.col("text").alias("head_text"), F.col("sketch").alias("head_sketch"))
