@@ -46,20 +46,21 @@ def _kept(df: DataFrame, keep: list[str], words: str, span: int, k: int) -> Data
 
 def _windows(bench: DataFrame, span: int) -> DataFrame:
     """(item_id, gram): the word windows of each item, joined by blanks; a shorter item is one window."""
-    items = bench.select("item_id", item_words(F.col("text")).alias("words")).filter((F.size("words") > 0) & F.col("item_id").isNotNull())
+    items = bench.select("item_id", item_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     n = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n - span, F.lit(0)) + 1)
     return items.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.array_join(F.slice("words", F.col("at"), span), " ").alias("gram")).distinct()
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """One row per distinct contaminated text: key (MD5 of the text), n_hit, items (sorted as strings), see ``keyed``.
-
-    Null and empty texts have no words and never appear. Items without words or
-    with a null id are left out; a repeated item id counts once. Items shorter
-    than ``span`` words are one window of their own length, found by the hashes
-    of all runs of that length. Only ``text``, ``item_id`` are read, so other
-    columns may have any name. Equal texts are compared once.
+    """One row per distinct contaminated text: key (MD5 of the text), n_hit, n_items, items (sorted as strings), see ``keyed``.
+
+    Null and empty texts have no words and never appear; texts of any length are
+    read whole. Items without words are left out; a repeated item id counts once;
+    all items with a null id count as one and are no part of ``items``. Items
+    shorter than ``span`` words are one window of their own length, found by the
+    hashes of all runs of that length. Only ``text``, ``item_id`` are read, so
+    other columns may have any name. Equal texts are compared once.
     """
     return _contaminated(keyed(docs, span, k, bench), docs, bench, span, k)
 
@@ -91,31 +92,32 @@ def _short(bench: DataFrame, span: int) -> list[int]:
 def _contaminated(prints: DataFrame, docs: DataFrame, bench: DataFrame, span: int, k: int) -> DataFrame:
     short = _short(bench, span)
     windows = common.materialize(_windows(bench, span), "windows")
-    items = bench.filter(F.col("item_id").isNotNull()).select(item_words(F.col("text")).alias("words"))
+    items = bench.select(item_words(F.col("text")).alias("words"))
     # As a table: exploding the expression itself has Spark filter on its size first, which computes it anew for each k-gram.
     wanted = common.materialize(_kept(items, [], "words", span, k), "benchmark-kept").select(F.explode("kept").alias("hash"))
     for n in short:
         wanted = wanted.union(items.filter(F.size("words") == n).select(F.explode(_grams(F.col("words"), F.size("words"), n))))
     wanted = common.materialize(wanted.distinct(), "benchmark-hashes")
-    wanted = common.maybe_broadcast(wanted, wanted.count())
+    wanted = common.maybe_broadcast(wanted)
 
     every = F.concat("kept", *[F.col(f"`{_run(n)}`") for n in short])
-    hits = prints.select("key", F.explode(every).alias("hash")).join(wanted, "hash", "left_semi")
-    hits = common.materialize(hits.groupBy("key").agg(F.collect_set("hash").alias("found")), "hits")
-
-    texts = docs.select(_key(F.col("text")).alias("key"), "text").join(common.maybe_broadcast(hits, hits.count(), 100_000), "key").dropDuplicates(["key"])
-    texts = texts.select("key", "found", item_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
-    texts = texts.select("key", "found", "words", "n", _grams(F.col("words"), F.col("n"), k).alias("grams"))
-    at = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("found", F.get("grams", i)))
-    around = F.transform(F.when((F.col("n") >= span), at), lambda p: F.sequence(F.greatest(p - (span - k), F.lit(0)), F.least(p, F.col("n") - span)))
-    around = F.filter(F.array_distinct(F.flatten(around)), lambda s: (s >= 0) & (s <= F.col("n") - span))
-    starts = [F.coalesce(F.transform(around, lambda s: F.struct(s.alias("at"), F.lit(span).alias("length"))), F.array().cast("array<struct<at:int,length:int>>"))]
-    for n in short:
-        alone = F.filter(F.sequence(F.lit(0), F.col("n") - n), lambda i: F.array_contains("found", F.xxhash64(*[F.get("words", i + j) for j in range(n)])))  # noqa: B023
-        starts.append(F.when(F.col("n") >= n, F.transform(alone, lambda s: F.struct(s.alias("at"), F.lit(n).alias("length")))).otherwise(F.array().cast("array<struct<at:int,length:int>>")))  # noqa: B023
-    spans = texts.select("key", "words", F.explode(F.concat(*starts)).alias("s")).select("key", "s", F.array_join(F.slice("words", F.col("s.at") + 1, F.col("s.length")), " ").alias("gram"))
-    grams = windows.select("gram").distinct()
-    spans = common.materialize(spans.join(common.maybe_broadcast(grams, windows.count(), 100_000), "gram", "left_semi"), "spans")
+    hits = prints.select("key", F.explode(every).alias("hash")).join(wanted, "hash", "left_semi").select("key").distinct()
+    hits = common.materialize(hits, "hits")
+    texts = docs.select(_key(F.col("text")).alias("key"), "text").join(common.maybe_broadcast(hits), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.min("text").alias("text")).select("key", item_words(F.col("text")).alias("words"))
+    texts = common.materialize(texts, "hit-texts")
+    # Where the shared hashes stand in the texts that have any, and from there the windows around them.
+    sized = texts.select("key", "words", F.size("words").alias("n"))
+    found = None
+    for run, length in [(k, span), *((n, n) for n in short)]:
+        own = sized.filter(F.col("n") >= length).select("key", "n", F.posexplode(_grams(F.col("words"), F.col("n"), run)).alias("at", "hash")).join(wanted, "hash", "left_semi")
+        around = F.sequence(F.greatest(F.col("at") - (length - run), F.lit(0)), F.least("at", F.col("n") - length))
+        own = own.select("key", F.explode(around).alias("at"), F.lit(length).alias("length"))
+        found = own if found is None else found.unionByName(own)
+    starts = found.groupBy("key").agg(F.collect_set(F.struct("at", "length")).alias("starts"))
+    spans = texts.join(starts, "key").select("key", "words", F.explode("starts").alias("s")).select("key", "s", F.array_join(F.slice("words", F.col("s.at") + 1, F.col("s.length")), " ").alias("gram"))
+    grams = common.materialize(windows.select("gram").distinct(), "grams")
+    spans = common.materialize(spans.join(common.maybe_broadcast(grams), "gram", "left_semi"), "spans")
 
     cover = F.aggregate(
         F.sort_array(F.collect_list("s")), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -123,20 +125,20 @@ def _contaminated(prints: DataFrame, docs: DataFrame, bench: DataFrame, span: in
         lambda a: a["n"],
     )
     covered = spans.groupBy("key").agg(cover.alias("n_hit"))
-    found = spans.select("key", "gram").distinct().join(windows, "gram").select("key", "item_id").distinct()
-    found = found.groupBy("key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    return covered.join(found, "key")
+    occurring = spans.select("key", "gram").distinct().join(windows, "gram").select("key", "item_id").distinct()
+    occurring = occurring.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    return covered.join(occurring, "key")
 
 
 def report(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Repeated rows each get a row."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Repeated rows and null ids each get a row; see ``decontaminate``."""
     prints = keyed(docs, span, k, bench)
     found = common.materialize(_contaminated(prints, docs, bench, span, k), "contaminated")
-    out = prints.select("doc_id", "key", "n_words").join(common.maybe_broadcast(found, found.count(), 50_000), "key", "left")
+    out = prints.select("doc_id", "key", "n_words").join(common.maybe_broadcast(found), "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         common.sha256_hex(F.array_join(items, ",")).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
@@ -144,4 +146,4 @@ def report(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -
 def remove_contaminated(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """The documents that share no window with any item, with all their columns."""
     found = common.materialize(decontaminate(docs, bench, span, k).select("key"), "contaminated")
-    return docs.join(common.maybe_broadcast(found, found.count()), _key(docs["text"]) == found["key"], "left_anti")
+    return docs.join(common.maybe_broadcast(found), _key(docs["text"]) == found["key"], "left_anti")
