@@ -31,8 +31,8 @@ from netloom.llm import common
 
 END = 0
 LEVEL = 3
-#: The dictionary: its bytes, and the documents (chosen by hash, at most so many) and characters of each that train it.
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 * 1024, 800, 8_000
+#: The dictionary: its bytes, and the documents (whole texts, chosen by a hash of the id, at most so many) that train it.
+DICTIONARY_BYTES, SAMPLE_DOCS = 64 * 1024, 800
 #: A block closes at so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4 * 2**20, 8192
 #: Pieces whose ids a Python worker remembers; of their parts, twice as many.
@@ -132,15 +132,25 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A dictionary from a bounded sample of documents, chosen by hash; empty when there is too little to train on."""
-    picked = docs.filter("text IS NOT NULL").select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-    encoder = encoder_of(tokenizer)
-    samples = [x for x in encoder.encode([r.text for r in picked]) if x]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+def train_dictionary(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """One row (sha256, dictionary), trained in one task on a bounded sample of documents; empty when there is too little to train on.
+
+    Ids alone choose the sample; only then are its texts fetched. Of repeated ids one text counts.
+    """
+    picked = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    picked = picked.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        samples = [x for x in encoder_of(tokenizer).encode([r[2] for r in rows]) if x]
+        try:
+            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            dictionary = b""
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(dictionary).hexdigest()]), pa.array([dictionary], pa.binary())], ["sha256", "dictionary"])
+
+    return texts.select("h", "doc_id", "text").repartition(1).mapInArrow(run, "sha256 string, dictionary binary")
 
 
 def _codec(dictionary: bytes) -> dict:
@@ -184,9 +194,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """
     tokenizer = tokenizer or tokenizer_path()
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer)
+    train_dictionary(docs, tokenizer).write.parquet(f"{path}/dictionary")
+    dictionary = _dictionary(spark, path)
     digest = hashlib.sha256(dictionary).digest()
-    spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -222,7 +232,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
+    row = spark.read.schema("sha256 string, dictionary binary").parquet(f"{path}/dictionary").first()
+    return bytes(row.dictionary) if row else b""
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +246,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("part", "seq", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner")).join(parts, "part")
     starts = common.materialize(starts.select("part", "seq", (F.col("base") + F.col("inner")).alias("start")), "starts")
-    placed = blocks.join(common.maybe_broadcast(starts, starts.count()), ["part", "seq"]).select("start", "block")
+    placed = blocks.join(common.maybe_broadcast(starts), ["part", "seq"]).select("start", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
