@@ -11,8 +11,9 @@
    multiplied block by block, overlap counts accumulate over column blocks, and
    pairs under the bound that their sizes imply are discarded. Only then do
    classes of one key that are still in different components meet one another.
-   Keys of very many classes go to products of block pairs instead, which
-   return a few links for each pair of blocks and never a list of pairs.
+   In keys of very many classes, those outside the cluster's largest component
+   meet the others in products of block pairs, which return a few links for each
+   pair of blocks and never a list of pairs.
 4. Components of links, spread back over the copies.
 """
 
@@ -57,8 +58,14 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
                 yield at + i, np.array([block.whole(i)] if b > a else [], np.uint64)
 
 
-def _digest(own: np.ndarray) -> int:
-    return int((bytewords.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))).astype(np.int64))
+def _digest(own: np.ndarray, clash: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(class, check) of a set: two independent sums of its hashes; ``clash`` holds classes that several sets share, which get another name."""
+    one = bytewords.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))
+    two = bytewords.mix(own ^ bytewords._PLACE[2]).sum(dtype=np.uint64)
+    name = int(one.astype(np.int64))
+    if name in clash:
+        name = int(bytewords.mix(np.array([one]) * bytewords._PLACE[3] + two)[0].astype(np.int64))
+    return name, int(two.astype(np.int64))
 
 
 def _band(n: int, share: int) -> int:
@@ -94,35 +101,48 @@ def _keys(own: np.ndarray, share: int) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), least
 
 
-def _classes(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """(doc_id, digest, n_shingles, class, even, odd): class is a hash of the shingle set, null for an empty one.
+def _classes(docs: DataFrame, words: int, share: int, clash: frozenset[int] = frozenset()) -> DataFrame:
+    """(doc_id, digest, n_shingles, class, check, even, odd): class is a hash of the shingle set, null for an empty one.
 
-    digest: a hash of the text. even, odd: how many keys of an even or odd band a linked set shares at least.
+    digest: a hash of the text; check: another one of the set. even, odd: how many
+    keys of an even or odd band a linked set shares at least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, least = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones((batch.num_rows, 2), np.int32)
+            n, names, least = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64), np.ones((batch.num_rows, 2), np.int32)
             for i, own in shingle_sets(batch.column(1), words):
                 if len(own):
-                    n[i], digest[i], least[i] = len(own), _digest(own), _keys(own, share)[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(digest, mask=n == 0), pa.array(least[:, 0]), pa.array(least[:, 1])], ["doc_id", "digest", "n_shingles", "class", "even", "odd"])
+                    n[i], names[i], least[i] = len(own), _digest(own, clash), _keys(own, share)[1]
+            columns = [pa.array(n), pa.array(names[:, 0], mask=n == 0), pa.array(names[:, 1], mask=n == 0), pa.array(least[:, 0]), pa.array(least[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "digest", "n_shingles", "class", "check", "even", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, digest long, n_shingles long, class long, even int, odd int")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, digest long, n_shingles long, class long, check long, even int, odd int")
+    return common.materialize(rows, "classes")
 
 
-def _key_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
+def _groups(classes: DataFrame) -> DataFrame:
+    """One row per class: its smallest id, how many keys a link needs, and the range of its checks."""
+    least = [F.min("doc_id").alias("id"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.min("check").alias("low"), F.max("check").alias("high")]
+    return common.materialize(classes.filter("class IS NOT NULL").groupBy("class").agg(*least), "groups")
+
+
+def _key_rows(docs: DataFrame, words: int, share: int, clash: frozenset[int]) -> DataFrame:
+    """(key, class): the keys of each class, once for each task that meets it, so copies add little."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             every = np.concatenate(keys).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.array(owners, np.int64), [len(k) for k in keys]))], ["key", "class"])
 
+        met: set[int] = set()
         for batch in batches:
             keys, owners, held = [], [], 0
             for _, own in shingle_sets(batch.column(0), words):
-                if len(own):
+                if len(own) and (name := _digest(own, clash)[0]) not in met:
+                    met.add(name)
                     keys.append(_keys(own, share)[0])
-                    owners.append(_digest(own))
+                    owners.append(name)
                     held += len(keys[-1])
                 if held > 500_000:
                     yield flush()
@@ -133,7 +153,7 @@ def _key_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, class long")
 
 
-def _met(docs: DataFrame, classes: DataFrame, words: int, share: int) -> DataFrame:
+def _met(docs: DataFrame, needs: DataFrame, words: int, share: int, clash: frozenset[int]) -> DataFrame:
     """(key, class, leader, size, least): keys of several classes, for classes that may have a link.
 
     A class that meets others in fewer keys than any link needs has none: it
@@ -141,9 +161,8 @@ def _met(docs: DataFrame, classes: DataFrame, words: int, share: int) -> DataFra
     """
     window = Window.partitionBy("key")
     several = lambda df: df.withColumns({"leader": F.min("class").over(window), "last": F.max("class").over(window)}).filter(F.col("leader") < F.col("last")).drop("leader", "last")
-    met = several(_key_rows(docs, words, share)).distinct()
-    needs = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
-    met = met.join(needs, "class").withColumn("odd_band", F.pmod("key", F.lit(2)) == 1)
+    met = several(_key_rows(docs, words, share, clash)).distinct()
+    met = met.join(needs.select("class", "even", "odd"), "class").withColumn("odd_band", F.pmod("key", F.lit(2)) == 1)
     met = common.materialize(met.select("key", "class", "odd_band", F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")).alias("least")), "keys")
     for _ in range(PEELS):
         held = F.count(F.lit(1)).over(Window.partitionBy("class", "odd_band"))
@@ -151,13 +170,13 @@ def _met(docs: DataFrame, classes: DataFrame, words: int, share: int) -> DataFra
     return met.withColumns({"leader": F.min("class").over(window), "size": F.count(F.lit(1)).over(window)}).drop("odd_band")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, clash: frozenset[int]) -> DataFrame:
     """(class, n, hashes) of the wanted classes, from texts that hold them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [own.astype(np.int64) for _, own in shingle_sets(batch.column(0), words)]
-            ids = pa.array([_digest(x.astype(np.uint64)) for x in found], pa.int64())
+            ids = pa.array([_digest(x.astype(np.uint64), clash)[0] for x in found], pa.int64())
             hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in found], pa.int64()), hashes], ["class", "n", "hashes"])
 
@@ -220,19 +239,29 @@ def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return text.groupBy("a", "block").applyInPandas(run, "a long, b long")
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _hot_links(hot: DataFrame, known: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links within clusters of hot keys, enough to connect what is connected.
 
-    hot: (key, class, leader). Classes that meet through hot keys form a cluster,
-    which is dealt into blocks; a task multiplies two blocks and returns a
-    spanning forest of the links between their rows.
+    hot: (key, class, leader); known: (class, component) by the links found so
+    far. Classes that meet through hot keys form a cluster. Its largest component
+    and the rest are dealt into blocks; a task multiplies a block of the rest
+    with another one of either kind and returns a spanning forest of the links
+    between their rows. The largest component is never multiplied with itself.
     """
     edges = hot.filter(F.col("class") != F.col("leader")).select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     cluster = components.connected(edges).toDF("class", "cluster")
-    rows = cluster.join(sets.select("class", "n"), "class")
-    size = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_ENTRIES)).cast("int").alias("blocks"))
-    rows = rows.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    rows = rows.select("class", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = cluster.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")).join(sets.select("class", "n"), "class")
+    rows = common.materialize(rows, "clustered")
+    held = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("held"))
+    most = held.groupBy("cluster").agg(F.max(F.struct("held", "component"))["component"].alias("most"))
+    rows = rows.join(common.materialize(most, "most"), "cluster").withColumn("rest", F.col("component") != F.col("most"))
+    blocks = lambda own: F.coalesce(F.ceil(F.greatest(F.count(F.when(own, 1)) / BLOCK_ROWS, F.sum(F.when(own, F.col("n"))) / BLOCK_ENTRIES)), F.lit(0)).cast("int")
+    size = rows.groupBy("cluster").agg(blocks(F.col("rest")).alias("few"), blocks(~F.col("rest")).alias("many")).filter("few > 0")
+    rows = rows.join(common.materialize(size, "cluster-sizes"), "cluster")
+    dealt = lambda n: F.pmod(F.xxhash64("class"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("rest"), dealt(F.col("few"))).otherwise(F.col("few") + dealt(F.col("many"))))
+    others = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    rows = rows.select("class", "cluster", "block", F.explode(others).alias("other"))
     rows = rows.select("class", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "class")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -261,24 +290,30 @@ def _hot_links(hot: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return rows.groupBy("cluster", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def _grouped(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """(doc_id, digest, n_shingles, component) of each row; component is one of its classes, null without shingles."""
-    classes = common.materialize(_classes(docs, words, share), "classes")
-    met = common.materialize(_met(docs, classes, words, share), "keys")
+def _grouped(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, groups, known): a row for each document, one for each class, and (class, component) of the classes with links."""
+    classes, clash = _classes(docs, words, share), frozenset()
+    groups = _groups(classes)
+    # Different sets under one 64-bit name, a handful in 10^10 sets: named anew.
+    if same := [r["class"] for r in groups.filter("low <> high").select("class").collect()]:
+        clash = frozenset(same)
+        classes = _classes(docs, words, share, clash)
+        groups = _groups(classes)
+    met = common.materialize(_met(docs, groups, words, share, clash), "keys")
     window = Window.partitionBy("key")
     wanted = common.materialize(met.select("class").distinct(), "wanted")
-    few = wanted.count()
-    first = classes.groupBy("class").agg(F.min("doc_id").alias("id")).join(common.maybe_broadcast(wanted, few), "class", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.maybe_broadcast(first.select("id"), few), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = common.materialize(_sets(texts, common.maybe_broadcast(wanted, few), words), "sets")
+    few = common.maybe_broadcast(wanted)
+    first = common.materialize(groups.join(few, "class", "left_semi").select("id"), "firsts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(common.maybe_broadcast(first), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = common.materialize(_sets(texts, few, words, clash), "sets")
 
     mild, hot = met.filter(F.col("size") <= HOT), met.filter(F.col("size") > HOT)
-    star = mild.filter(F.col("class") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
-    links = _verify(star.filter(F.col("n") >= F.col("least")).select("a", "b"), sets, share)
-    if not hot.isEmpty():
-        links = links.unionByName(_hot_links(hot, sets, share))
-    links = common.materialize(links.distinct(), "links")
+    star = met.filter(F.col("class") != F.col("leader")).groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    links = common.materialize(_verify(star.filter(F.col("n") >= F.col("least")).select("a", "b"), sets, share).distinct(), "links")
     known = components.connected(links).toDF("class", "component")
+    if not hot.isEmpty():
+        links = common.materialize(links.unionByName(_hot_links(hot, known, sets, share)).distinct(), "links")
+        known = components.connected(links).toDF("class", "component")
 
     # Keys whose classes are still in several components: those meet one another.
     left = mild.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")).join(sets.select("class", "n"), "class")
@@ -289,9 +324,7 @@ def _grouped(docs: DataFrame, words: int, share: int) -> DataFrame:
     # Two classes of different components share only keys that are open or hot; the hot ones have compared them.
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("least_a", "least_b")).alias("least")).filter(F.col("n") >= F.col("least"))
     more = common.materialize(_verify(rest.select("a", "b"), sets, share), "links")
-    known = components.connected(links.unionByName(more)).toDF("class", "component")
-
-    return classes.join(known, "class", "left").select("doc_id", "digest", "n_shingles", F.coalesce("component", "class").alias("component"))
+    return classes, groups, components.connected(links.unionByName(more)).toDF("class", "component")
 
 
 def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -300,12 +333,18 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     Words lie between ASCII blanks, A-Z lower-cased. Null, empty and blank texts
     have no shingles, link with nothing and are their own component. Rows with
     equal texts are linked; a row with a null id gets its component's smallest
-    id, null if there is none. Only doc_id and text are read. Sets are compared
-    by 64-bit hashes of shingles and of sets.
+    id, null if there is none. Only doc_id and text are read, texts whole. Sets
+    are compared by 64-bit hashes of shingles.
     """
-    grouped = _grouped(docs, words, share).drop("digest")
-    least = grouped.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
-    return grouped.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    classes, groups, known = _grouped(docs, words, share)
+    # Smallest ids by class, then by component: what goes back to the documents has a row for each class, however many copies it has.
+    linked = common.materialize(groups.join(known, "class").select("class", "component", "id"), "linked")
+    least = common.materialize(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
+    linked = linked.join(common.maybe_broadcast(least), "component").select("class", "least")
+    copied = classes.filter("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class")
+    copied = groups.join(copied, "class").join(known, "class", "left_anti").select("class", F.col("id").alias("least"))
+    ids = common.maybe_broadcast(common.materialize(linked.unionByName(copied), "component-ids"))
+    return classes.select("doc_id", "n_shingles", "class").join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -315,18 +354,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFra
     equal ids one text stays, and of equal rows any one. Rows without an id keep
     one of their own in each component. Rows without words all stay.
     """
-    found = _grouped(docs, words, share).filter(F.col("component").isNotNull())
-    found = common.materialize(found.groupBy("doc_id", "digest", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("named", F.col("doc_id").isNotNull()), "components")
+    classes, _, known = _grouped(docs, words, share)
+    found = classes.filter(F.col("class").isNotNull()).groupBy("doc_id", "digest", "class").agg(F.count(F.lit(1)).alias("n"))
+    found = found.join(common.maybe_broadcast(common.materialize(known, "known")), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    found = common.materialize(found.withColumn("named", F.col("doc_id").isNotNull()).drop("class"), "components")
     stays = found.groupBy("component", "named").agg(F.min(F.struct("doc_id", "digest")).alias("stays"), F.sum("n").alias("rows"))
     stays = common.materialize(stays.filter("rows > 1").drop("rows"), "stays")
     once = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))
-    marks = found.join(common.maybe_broadcast(stays, stays.count()), ["component", "named"]).withColumn("once", once).filter(~F.col("once") | (F.col("n") > 1))
+    marks = found.join(common.maybe_broadcast(stays), ["component", "named"]).withColumn("once", once).filter(~F.col("once") | (F.col("n") > 1))
     marks = common.materialize(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__text"), "once"), "marks")
-    repeats = marks.filter("once")
+    repeats = common.materialize(marks.filter("once").drop("once"), "repeats")
     keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_text": F.xxhash64("text")})
     on = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_text") == F.col("__text"))
-    kept = keyed.join(common.maybe_broadcast(marks.drop("once"), marks.count()), on, "left_anti")
-    few = repeats.count()
-    if few:
-        kept = kept.unionByName(keyed.join(common.maybe_broadcast(repeats.drop("once"), few), on, "left_semi").dropDuplicates(["__own_id", "__own_text"]))
+    kept = keyed.join(common.maybe_broadcast(marks.drop("once")), on, "left_anti")
+    if not repeats.isEmpty():
+        again = keyed.join(common.maybe_broadcast(repeats), on, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "__own_id", "__own_text")
+        # Any one of equal rows; partial aggregation keeps a hot row's copies out of one task.
+        again = again.groupBy("__own_id", "__own_text").agg(F.first("row").alias("row")).select("row.*")
+        kept = kept.drop("__own_id", "__own_text").unionByName(again)
     return kept.drop("__own_id", "__own_text")
