@@ -125,51 +125,70 @@ def _window_hashes(block: bytewords.Block, window: np.ndarray, span: int) -> tup
     n = len(block.hashes)
     up, down = bytewords._power(n + 1)
     out = []
-    for x in (block.hashes, bytewords.mix(block.hashes ^ _OTHER)):
+    for x in (block.hashes, block.second()):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(x * up[:n], out=sums[1:])
         out.append(bytewords.mix((sums[window + span] - sums[window]) * down[window]).astype(np.int64))
     return out[0], out[1]
 
 
-def _digest(block: bytewords.Block, i: int) -> int:
-    """A hash of a document's whole word sequence."""
+def _digest(block: bytewords.Block, i: int, clash: frozenset[int] = frozenset()) -> int:
+    """A hash of a document's whole word sequence; ``clash`` holds hashes that several sequences share, which get another one."""
     own = block.hashes[block.first[i] : block.first[i + 1]]
     up, _ = bytewords._power(len(own) + 1)
-    return int((bytewords.mix(own * _OTHER + up[: len(own)] * _LEFT).sum(dtype=np.uint64) + np.uint64(len(own))).astype(np.int64))
+    name = int((bytewords.mix(own * _OTHER + up[: len(own)] * _LEFT).sum(dtype=np.uint64) + np.uint64(len(own))).astype(np.int64))
+    if name in clash:
+        name = int.from_bytes(hashlib.sha256(_joined(block, i)).digest()[:8], "little", signed=True)
+    return name
 
 
-def _overview(docs: DataFrame) -> DataFrame:
+def _joined(block: bytewords.Block, i: int) -> bytes:
+    """A document's words, joined by one blank."""
+    return b" ".join(block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().split())
+
+
+def _overview(docs: DataFrame, clash: frozenset[int] = frozenset()) -> DataFrame:
     """(doc_id, n_words, text_class, whole_sha256) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sha = [], [], []
-            for at, block in bytewords.blocks(batch.column(1), lower=False):
+            for _, block in bytewords.blocks(batch.column(1), lower=False):
                 for i in range(len(block.first) - 1):
                     n.append(int(block.first[i + 1] - block.first[i]))
-                    digest.append(_digest(block, i))
-                    text = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes()
-                    sha.append(hashlib.sha256(b" ".join(text.split())).hexdigest())
+                    digest.append(_digest(block, i, clash))
+                    sha.append(hashlib.sha256(_joined(block, i)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "text_class", "whole_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, text_class long, whole_sha256 string")
+    return common.materialize(docs.mapInArrow(run, "doc_id long, n_words long, text_class long, whole_sha256 string"), "overview")
+
+
+def _classes(overview: DataFrame) -> DataFrame:
+    """One row per class of texts: the smallest id, the number of rows, and the range of its SHA-256."""
+    rows = overview.groupBy("text_class").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("copies"), F.min("whole_sha256").alias("low"), F.max("whole_sha256").alias("high"))
+    return common.materialize(rows, "text-classes")
 
 
-def _key_rows(docs: DataFrame, span: int) -> DataFrame:
-    """(key, text_class): the distinct keys of each document's windows."""
+def _key_rows(docs: DataFrame, span: int, clash: frozenset[int]) -> DataFrame:
+    """(key, text_class): the keys of each class's windows, once for each task that meets it, so copies add little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for _, block in bytewords.blocks(batch.column(0), lower=False):
                 document, _, key = file_windows(block, span)
-                if not len(key):
-                    continue
                 # Neighbouring windows mostly share their key.
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (document[1:] != document[:-1])
+                names, fresh = np.zeros(len(block.first), np.int64), np.zeros(len(block.first), bool)
+                for i in np.unique(document).tolist():
+                    names[i] = _digest(block, i, clash)
+                    fresh[i] = int(names[i]) not in met
+                    met.add(int(names[i]))
+                new &= fresh[document]
                 document, key = document[new], key[new]
-                names = np.array([_digest(block, i) if i in held else 0 for held in [set(document.tolist())] for i in range(len(block.first) - 1)], np.int64)
+                if not len(key):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(names[document])], ["key", "text_class"])
 
     return docs.select("text").mapInArrow(run, "key long, text_class long")
@@ -216,52 +235,57 @@ def _cut(texts: DataFrame, span: int) -> DataFrame:
     return texts.select("doc_id", "text_class", "text", "starts").mapInArrow(run, "doc_id long, text_class long, n_removed long, kept string")
 
 
-def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """(overview, changed): every document's word count and class; the cut texts of those that lose words.
+def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overview, classes, changed): every document's word count and class, the classes, and the cut texts of those that lose words.
 
     A document whose whole word sequence stands in one with a smaller id loses
-    all its words if it has ``span`` of them at least; such copies take no part in
-    the search. Null ids and null texts: the document is left as it is and removes
-    nothing. Rows with equal ids don't shorten one another. Only doc_id and text are read.
+    all its words if it has ``span`` of them at least; of such copies the first
+    alone takes part in the search. Null ids and null texts: the document is left
+    as it is and removes nothing. Rows with equal ids don't shorten one another.
+    Texts are read whole. Only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    overview = common.materialize(_overview(docs), "overview")
+    overview, clash = _overview(docs), frozenset()
+    classes = _classes(overview)
+    # Different texts under one 64-bit name, a handful in 10^10 texts: named anew.
+    if same := [r.text_class for r in classes.filter("low <> high").select("text_class").collect()]:
+        clash = frozenset(same)
+        overview = _overview(docs, clash)
+        classes = _classes(overview)
     window = Window.partitionBy("key")
-    rows = _key_rows(docs.filter(F.col("doc_id").isNotNull()), span)
+    rows = _key_rows(docs.filter(F.col("doc_id").isNotNull()), span, clash)
     rows = rows.withColumns({"low": F.min("text_class").over(window), "high": F.max("text_class").over(window)}).filter("low < high")
     shared = common.materialize(rows.groupBy("text_class").agg(F.collect_set("key").alias("shared")), "shared")
-    count = shared.count()
-    firsts = overview.filter(F.col("doc_id").isNotNull()).groupBy("text_class").agg(F.min("doc_id").alias("doc_id"))
-    firsts = common.materialize(firsts.join(shared, "text_class"), "firsts")
+    firsts = common.materialize(classes.select("text_class", F.col("first").alias("doc_id")).join(shared, "text_class"), "firsts")
     # Equal ids with other texts are told apart by the class of the text.
-    ids = docs.join(common.maybe_broadcast(firsts.select("doc_id").distinct(), count), "doc_id", "left_semi")
-    texts = common.materialize(_with_class(ids).join(firsts, ["doc_id", "text_class"]).dropDuplicates(["doc_id", "text_class"]), "texts")
-    found = _candidate_windows(texts, span)
+    wanted = common.materialize(firsts.select("doc_id").distinct(), "wanted")
+    ids = docs.join(common.maybe_broadcast(wanted), "doc_id", "left_semi")
+    texts = common.materialize(_with_class(ids, clash).join(firsts, ["doc_id", "text_class"]).dropDuplicates(["doc_id", "text_class"]), "texts")
+    found = common.materialize(_candidate_windows(texts, span), "windows")
     # One row per shared window, summed up before the shuffle. As a table of its own it lets Spark split the
     # join on a passage that very many documents hold.
     earliest = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     earliest = common.materialize(earliest, "earliest")
-    starts = found.join(common.maybe_broadcast(earliest, earliest.count()), ["a", "b"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "text_class").agg(F.collect_list("at").alias("starts"))
+    starts = found.join(common.maybe_broadcast(earliest), ["a", "b"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "text_class").agg(F.collect_list("at").alias("starts"))
     changed = _cut(texts.join(starts, ["doc_id", "text_class"]), span)
-    return overview, common.materialize(changed, "changed")
+    return overview, classes, common.materialize(changed, "changed")
 
 
-def _with_class(docs: DataFrame) -> DataFrame:
+def _with_class(docs: DataFrame, clash: frozenset[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest = [_digest(block, i) for _, block in bytewords.blocks(batch.column(1), lower=False) for i in range(len(block.first) - 1)]
+            digest = [_digest(block, i, clash) for _, block in bytewords.blocks(batch.column(1), lower=False) for i in range(len(block.first) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.int64())], ["doc_id", "text", "text_class"])
 
     return docs.mapInArrow(run, "doc_id long, text string, text_class long")
 
 
 def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one blank)."""
-    overview, changed = repeats(docs, span)
-    changed = changed.select("doc_id", "text_class", "n_removed", common.sha256_hex(F.col("kept")).alias("kept_sha256"))
-    firsts = overview.filter(F.col("doc_id").isNotNull()).groupBy("text_class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    copies = firsts.filter("copies > 1").drop("copies")
-    out = overview.join(copies, "text_class", "left").join(changed, ["doc_id", "text_class"], "left")
+    """Per document: doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one blank); see ``repeats``."""
+    overview, classes, changed = repeats(docs, span)
+    changed = common.materialize(changed.select("doc_id", "text_class", "n_removed", common.sha256_hex(F.col("kept")).alias("kept_sha256")), "cut")
+    copies = common.materialize(classes.filter("copies > 1").select("text_class", "first"), "copies")
+    out = overview.join(common.maybe_broadcast(copies), "text_class", "left").join(common.maybe_broadcast(changed), ["doc_id", "text_class"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= span), F.lit(False))
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), F.when(copy, common.sha256_hex(F.lit(""))).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"))
