@@ -3,7 +3,8 @@
 A source's target is its weight's share of all words; a target stops at
 ``limit`` times its source's words and the excess goes to the others by weight.
 A document is emitted floor(rate) times plus one hash-seeded copy with
-probability equal to the fraction, rate being target / words of its source.
+probability equal to the fraction, rate being target / words of its source. The
+coin hashes the whole row (id, source, text) and its number among equal rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from netloom.llm import common
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-SEED = "mix-1"
+SEED = "mix-2"
+#: Tasks that repeats of one row are dealt over.
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -46,30 +49,57 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return totals.select("source", "source_size", target.alias("target"))
 
 
+def draw_key(docs: DataFrame) -> Column:
+    """A hash of id, source and text; rows that agree in all three share it."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.md5(F.concat_ws("|", part("doc_id"), part("source"), part("text")).cast("binary"))
+
+
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """Add ``number``: 1, 2, ... within rows of one ``key``, so that each repeat tosses a coin of its own.
+
+    Only repeated rows are numbered, dealt over SALTS tasks for each key; the rest have 1.
+    """
+    repeated = common.materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-keys")
+    if repeated.isEmpty():
+        return keyed.withColumn("number", F.lit(1).cast("long"))
+    few = common.maybe_broadcast(repeated)
+    again = common.materialize(keyed.join(few, "key", "left_semi").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "repeats")
+    sums = again.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = common.materialize(sums.select("key", "salt", before.alias("before")), "offsets")
+    own = F.row_number().over(Window.partitionBy("key", "salt").orderBy("key"))
+    again = again.withColumn("own", own).join(common.maybe_broadcast(offsets), ["key", "salt"])
+    again = again.withColumn("number", F.col("before") + F.col("own")).drop("salt", "own", "before")
+    return keyed.join(few, "key", "left_anti").withColumn("number", F.lit(1).cast("long")).unionByName(again)
+
+
 def with_copies(docs: DataFrame, targets: DataFrame, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
-    """Add source_size, target and copies (how often the mix takes the document)."""
+    """Add source_size, target and copies (how often the mix takes the row) to rows of (source, key, ...), key being their ``draw_key``."""
     targets = targets.withColumnsRenamed({"source": "__source"})
-    joined = docs.join(common.maybe_broadcast(targets, targets.count()), docs["source"].eqNullSafe(targets["__source"]), "left").drop("__source")
+    docs = _numbered(docs)
+    joined = docs.join(common.maybe_broadcast(targets), docs["source"].eqNullSafe(targets["__source"]), "left").drop("__source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(limit)))).otherwise(F.lit(0.0))
-    coin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    return joined.withColumn("copies", (F.floor(rate) + (coin < rate - F.floor(rate)).cast("long")).cast("long"))
+    coin = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "key", F.col("number").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    return joined.withColumn("copies", (F.floor(rate) + (coin < rate - F.floor(rate)).cast("long")).cast("long")).drop("key", "number")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's) and taken (words the mix takes).
 
     Null and empty texts have size 0; the null source is a source of its own;
-    rows with equal ids toss the same coin; a null id tosses one as well; sources
-    without words have target 0. An empty table gives no rows.
+    every row tosses its own coin, rows with equal or null ids and repeated rows
+    too; sources without words have target 0. An empty table gives no rows.
+    Columns besides doc_id, source and text are not read.
     """
-    sizes = common.materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sizes = common.materialize(docs.select("doc_id", "source", draw_key(docs).alias("key"), n_words(F.col("text")).alias("size")), "sizes")
     mixed = with_copies(sizes, common.materialize(source_targets(sizes), "targets"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``."""
+    """The mixed corpus: each row as often as the mix takes it, with the columns of ``docs``, whatever their names."""
     sizes = docs.select("source", n_words(F.col("text")).alias("size"))
     targets = common.materialize(source_targets(sizes, weights, limit), "targets")
-    mixed = with_copies(docs.select(F.struct("*").alias("row"), "source", "doc_id"), targets, limit, seed)
+    mixed = with_copies(docs.select(F.struct("*").alias("row"), "source", draw_key(docs).alias("key")), targets, limit, seed)
     return mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

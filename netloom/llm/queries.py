@@ -70,7 +70,7 @@ WITH p AS (
   FROM pages
 ), n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 l AS (SELECT host, line, count(*) AS held FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
-c AS (SELECT host, list(line) AS common FROM l JOIN n USING (host) WHERE pages >= {linefreq.MIN_PAGES} AND held > pages * {linefreq.RATIO}::DOUBLE GROUP BY host),
+c AS (SELECT host, list(line) AS common FROM l JOIN n USING (host) WHERE held > 1 AND held > pages * {linefreq.RATIO}::DOUBLE GROUP BY host),
 k AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(common, []::VARCHAR[]), x)) AS kept FROM p LEFT JOIN c ON p.host = c.host)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
 """
@@ -104,7 +104,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op9_source_mixing"] = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce('=' || doc_id::VARCHAR, '-') || '|' || coalesce('=' || source, '-') || '|' || coalesce('=' || text, '-')) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source
 ), o AS (
@@ -116,7 +117,7 @@ t AS (
   SELECT source, source_size, CASE WHEN filled THEN (3 * source_size)::DOUBLE ELSE least(max(CASE WHEN NOT filled THEN level END) OVER () * weight, 3 * source_size) END::DOUBLE AS target FROM f
 ), r AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3) ELSE 0 END AS rate,
-    (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496 AS coin
+    (('0x' || substr(md5('{mixing.SEED}:' || key || ':' || row_number() OVER (PARTITION BY key)), 1, 13))::BIGINT)::DOUBLE / 4503599627370496 AS coin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, ((floor(rate) + (coin < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM r
