@@ -24,6 +24,26 @@ def edited(rows: list[tuple[int, str | None]]) -> dict[int, str]:
     return out
 
 
+def sketch(text: str | None, size: int = 5, scale: int = 8) -> list[int]:
+    """Hashes of the shingles below the fraction, or else the smallest one; xxHash64 of a shingle chains over its words."""
+    import xxhash
+
+    w = WORD.findall((text or "").lower())
+    runs = [w[k : k + size] for k in range(len(w) - size + 1)] if len(w) >= size else [w] if w else []
+    hashes = set()
+    for run in runs:
+        h = 42
+        for x in run:
+            h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+        hashes.add(h - 2**64 if h >= 2**63 else h)
+    below = sorted(h for h in hashes if h < -(2**63) + 2**64 // scale)
+    return below or sorted(hashes)[:1]
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
 def contamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> dict[int, tuple]:
     words = lambda t: ITEM_WORD.findall((t or "").translate(LOWER))
     windows: dict[tuple, set] = {}
