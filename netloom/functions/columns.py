@@ -64,6 +64,23 @@ def argmax(c: Column) -> Column:
     return (F.array_position(c, F.array_max(c)) - 1).cast("int")
 
 
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of class scores; the largest score is taken off first, so none overflows."""
+    powers = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(powers, lambda x: x / total)
+
+
+def focal_loss(probabilities: Column, truth: Column, alpha: Column, gamma: float = 2.0) -> Column:
+    """-alpha (1 - p)^gamma ln p of the true class; probabilities are scaled to sum 1, then kept 1e-7 away from 0 and 1.
+
+    probabilities, alpha: arrays by class; truth: 0-based class. Gamma 0 and alpha 1 give cross-entropy.
+    """
+    p = F.get(probabilities, truth) / F.aggregate(probabilities, F.lit(0.0), lambda a, x: a + x)
+    p = clip(p, 1e-7, 1 - 1e-7)
+    return -F.get(alpha, truth) * F.pow(1 - p, F.lit(float(gamma))) * F.log(p)
+
+
 def min_max(c: Column, low: Column, high: Column) -> Column:
     """(x - min) / (max - min); x - min where the column is constant. Values outside the range are not cut."""
     return (c - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.ranking import with_rank
-from netloom.sources.sinks import stored
+from netloom.sources.sinks import small_side, stored
 
 #: Rows of a block; an oversampling task compares two blocks of a class.
 CHUNK = 5000
@@ -31,7 +31,7 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, target: str) -> DataFrame:
     weights = class_weights(df, target).select(F.col(target).alias("__class"), F.col("weight").alias("class_weight"))
-    return df.join(F.broadcast(weights), F.col(target).eqNullSafe(F.col("__class")), "left").drop("__class")
+    return df.join(small_side(weights, "class-weights"), F.col(target).eqNullSafe(F.col("__class")), "left").drop("__class")
 
 
 def focal_alpha(df: DataFrame, target: str, classes: DataFrame, low: float = 0.5, high: float = 5.0) -> DataFrame:
@@ -92,7 +92,7 @@ def smote(df: DataFrame, features: Sequence[str], target: str, key: str, seed: i
         return own
     k = min(neighbours, max(1, counts.least - 1))
     sizes = class_counts(df, target).withColumn("__class", F.row_number().over(Window.orderBy(target))).withColumn("__missing", F.lit(counts.most) - F.col("n")).filter("__missing > 0")
-    sizes = F.broadcast(stored(sizes.select(F.col(target).alias("__target"), "__class", "n", "__missing"), "classes"))
+    sizes = small_side(sizes.select(F.col(target).alias("__target"), "__class", "n", "__missing"), "classes")
     short = df.select(target, F.col(key).alias("__key"), *[F.col(c).cast("double").alias(c) for c in features]).join(sizes, F.col(target).eqNullSafe(F.col("__target")))
     ranked = with_rank(short, F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(4096)), [F.col("__key"), *[F.col(c) for c in features]], ["__class"], "__rank")
     rows = stored(ranked.select("__class", "__rank", "n", *features), "rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,10 @@ BROADCAST_ENTRIES = 100_000
 
 def _codes(values: DataFrame, value: str, first: int) -> DataFrame:
     values = values.select(F.col(value).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    ranked = with_rank(values, F.substring(F.col("value").cast("string"), 1, 2), [F.col("value")], name="code")
+    # What all values begin with (such as a scheme or a network) tells none of them apart: buckets follow the characters behind it.
+    ends = values.agg(F.min("value").cast("string").alias("low"), F.max("value").cast("string").alias("high")).first()
+    shared = len(os.path.commonprefix([ends.low or "", ends.high or ""]))
+    ranked = with_rank(values, F.substring(F.col("value").cast("string"), shared + 1, 2), [F.col("value")], name="code")
     return ranked.select("value", (F.col("code") - 1 + first).cast("int").alias("code"))
 
 

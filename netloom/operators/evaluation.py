@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
 
 
-def binary_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """One row: tp, tn, fp, fn."""
+def binary_counts(df: DataFrame, truth: str, predicted: str, *more: Column) -> DataFrame:
+    """One row: tp, tn, fp, fn, and ``more`` aggregates of the same pass."""
     t, p = F.col(truth), F.col(predicted)
-    return df.agg(*[F.count_if((t == a) & (p == b)).alias(n) for n, a, b in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))])
+    return df.agg(*[F.count_if((t == a) & (p == b)).alias(n) for n, a, b in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))], *more)
 
 
-def binary_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """One row: the counts, accuracy, precision, recall, fpr and fnr (denominators plus 1e-8)."""
+def binary_metrics(df: DataFrame, truth: str, predicted: str, *more: Column) -> DataFrame:
+    """One row: the counts, accuracy, precision, recall, fpr and fnr (denominators plus 1e-8), and ``more`` aggregates."""
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     rate = lambda a, b: a / (b + EPSILON)
-    return binary_counts(df, truth, predicted).select(
+    found = binary_counts(df, truth, predicted, *more)
+    return found.select(
         "tp", "tn", "fp", "fn", ((tp + tn) / F.greatest(tp + tn + fp + fn, F.lit(1))).alias("accuracy"),
-        rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(fp, fp + tn).alias("fpr"), rate(fn, fn + tp).alias("fnr"),
+        rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(fp, fp + tn).alias("fpr"), rate(fn, fn + tp).alias("fnr"), *found.columns[4:],
     )
 
 

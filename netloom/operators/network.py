@@ -18,6 +18,11 @@ def start(inputs: int, seed: int = 0) -> list[np.ndarray]:
     return out
 
 
+def loss_of(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Binary cross-entropy of logits."""
+    return np.logaddexp(0, z) - y * z
+
+
 def logits(p: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     kept = [x]
     for w, b in zip(p[:-2:2], p[1:-2:2], strict=True):
@@ -40,7 +45,7 @@ class Training:
 
     def update(self, x: np.ndarray, y: np.ndarray) -> None:
         z, kept = logits(self.p, x)
-        self.loss += float((np.logaddexp(0, z) - y * z).sum())
+        self.loss += float(loss_of(z, y).sum())
         self.rows += len(y)
         slope = ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y))[:, None]
         gradients: list[np.ndarray] = []

@@ -7,12 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.operators.ranking import with_hash_rank
+from netloom.operators.ranking import hash_key, with_hash_rank
+from netloom.sources.sinks import small_side
 
 
 def sample_n(df: DataFrame, n: int, columns: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement, all if there are no more: the first in hash order of ``columns``."""
-    return with_hash_rank(df, columns, seed=seed, name="__rank").filter(F.col("__rank") <= n).drop("__rank")
+    """n rows without replacement, all if there are no more: the first in hash order of ``columns``.
+
+    Rows are counted by the first 16 bits of their hash; only those up to the
+    prefix that reaches n are ranked, so a small sample shuffles little.
+    """
+    prefix = F.substring("__key", 1, 4)
+    keyed = df.withColumn("__key", hash_key(columns, seed))
+    running = F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
+    counts = keyed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", running)
+    last = counts.filter(F.col("upto") >= n).agg(F.min("prefix")).first()[0]
+    near = keyed.filter(prefix <= last) if last is not None else keyed
+    return with_hash_rank(near.drop("__key"), columns, seed=seed, name="__rank").filter(F.col("__rank") <= n).drop("__rank")
 
 
 def shards(df: DataFrame, k: int, columns: Sequence[str], seed: int = 0, name: str = "device_id") -> DataFrame:
@@ -44,7 +55,7 @@ def train_test(df: DataFrame, target: str, columns: Sequence[str], share: float
     """Add ``part``: test for ceil(share * n) rows, stratified by class; train for the rest."""
     every = F.sum("n").over(Window.partitionBy())
     share_of = quotas(_class_counts(df, target), target, "n", every * share, "quota").select(F.col(target).alias("__class"), "quota")
-    ranked = with_hash_rank(df, columns, [target], seed, "__rank").join(F.broadcast(share_of), F.col(target).eqNullSafe(F.col("__class")))
+    ranked = with_hash_rank(df, columns, [target], seed, "__rank").join(small_side(share_of, "quotas"), F.col(target).eqNullSafe(F.col("__class")))
     return ranked.withColumn("part", F.when(F.col("__rank") <= F.col("quota"), "test").otherwise("train")).drop("__rank", "__class", "quota")
 
 
@@ -53,6 +64,6 @@ def train_val_test(df: DataFrame, target: str, columns: Sequence[str], holdout:
     every = Window.partitionBy()
     counts = quotas(_class_counts(df, target), target, "n", F.sum("n").over(every) * holdout, "held")
     counts = quotas(counts, target, "held", F.sum("held").over(every) * 0.5, "test").select(F.col(target).alias("__class"), "held", "test")
-    ranked = with_hash_rank(df, columns, [target], seed, "__rank").join(F.broadcast(counts), F.col(target).eqNullSafe(F.col("__class")))
+    ranked = with_hash_rank(df, columns, [target], seed, "__rank").join(small_side(counts, "quotas"), F.col(target).eqNullSafe(F.col("__class")))
     part = F.when(F.col("__rank") <= F.col("test"), "test").when(F.col("__rank") <= F.col("held"), "val").otherwise("train")
     return ranked.withColumn("part", part).drop("__rank", "__class", "held", "test")

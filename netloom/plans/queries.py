@@ -199,10 +199,14 @@ def router_status(spark: SparkSession, d: str) -> DataFrame:
     return fleet.router_status(fleet.latest_round(counts(spark, d)).select("router_id", "n"), heartbeats(spark, d), now_of(spark, d), ONLINE_S, OFFLINE_S)
 
 
-@query(f"WITH {FLOWS} SELECT 'router-00' || device AS router_id FROM devices")
+@query(f"""WITH {FLOWS} SELECT 'none' AS first, 'router-00' || device AS router_id FROM devices
+UNION ALL SELECT DISTINCT 'some' AS first, router_id FROM counts WHERE n >= (SELECT max(n) FROM counts)""")
 def fallback_devices(spark: SparkSession, d: str) -> DataFrame:
-    none = counts(spark, d).filter("n < 0").select("router_id")
-    return fleet.with_fallback(none, devices(spark).select(C.router_id(F.col("device")).alias("router_id")))
+    every, c = devices(spark).select(C.router_id(F.col("device")).alias("router_id")), counts(spark, d)
+    most = c.agg(F.max("n")).first()[0]
+    some = c.filter(F.col("n") >= F.lit(most)).select("router_id").distinct()
+    both = [(name, fleet.with_fallback(first, every)) for name, first in (("none", c.filter("n < 0").select("router_id")), ("some", some))]
+    return both[0][1].select(F.lit("none").alias("first"), "router_id").unionByName(both[1][1].select(F.lit("some").alias("first"), "router_id"))
 
 
 @query(f"WITH {RECORDS} SELECT router_id, anomalies FROM records ORDER BY device LIMIT 4")
@@ -226,14 +230,27 @@ def shown_counts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("router_id", "round", "n", fleet.shown_count(F.col("n"), F.col("last.n"), F.col("last.at"), at).alias("shown"))
 
 
-@query()
+@query(f"""WITH {FLOWS}, l AS (SELECT router_id, n FROM counts WHERE round = (SELECT max(round) FROM counts)),
+s AS (SELECT router_id, n, {CLIENT} AS status FROM l CROSS JOIN clock LEFT JOIN seen ON seen.device = regexp_replace(router_id, '[^0-9]', '', 'g')::INT),
+w AS (SELECT strftime((now AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Bucharest', '%Y-%m-%d %H:%M') || ' EET' AS moment FROM clock),
+a AS (SELECT router_id, n, {SEVERITY} AS severity FROM l WHERE n > 0),
+c AS (SELECT * FROM (SELECT round, sum(n)::BIGINT AS usage FROM counts GROUP BY round ORDER BY round DESC LIMIT 6))
+SELECT to_json({{'summary': {{'total': (SELECT count(*) FROM s), 'online': (SELECT count(*) FROM s WHERE status = 'online'), 'degraded': (SELECT count(*) FROM s WHERE status = 'degraded'), 'alerts_24h': (SELECT count(*) FROM a)}},
+  'top_devices': (SELECT list({{'name': router_id, 'usage': n || ' anomalies'}} ORDER BY router_id) FROM (SELECT * FROM s ORDER BY router_id LIMIT 4)),
+  'chart': (SELECT {{'labels': list('R' || round ORDER BY round), 'usage': list(usage ORDER BY round), 'speed': list(greatest(10, 50 - least(usage, 40)) ORDER BY round)}} FROM c),
+  'devices': (SELECT list({{'name': router_id, 'room': 'Network', 'status': status, 'last_seen': (SELECT moment FROM w), 'firmware': 'n/a', 'usage_24h': n || ' anomalies', 'model': 'router'}} ORDER BY router_id) FROM s),
+  'alerts': (SELECT list({{'title': 'Anomalies on ' || router_id, 'message': n || ' anomalies in the latest round', 'time': (SELECT moment FROM w), 'severity': severity}} ORDER BY router_id) FROM a),
+  'service': {{'plan': 'Fiber 500', 'next_bill': '2024-02-01', 'due_date': '2024-02-15', 'billing_cycle': 'monthly', 'router_model': 'AX-3000', 'uptime': 0.992::DOUBLE, 'speed_consistency': 0.97::DOUBLE}}}})::VARCHAR AS payload""")
 def dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
     service = spark.createDataFrame([("Fiber 500", "2024-02-01", "2024-02-15", "monthly", "AX-3000", 0.992, 0.97)], "plan string, next_bill string, due_date string, billing_cycle string, router_model string, uptime double, speed_consistency double")
     payload = dashboard.client_payload(fleet.latest_round(counts(spark, d)).select("router_id", "n"), metrics(spark, d), heartbeats(spark, d), service, now_of(spark, d), ONLINE_S, OFFLINE_S)
     return payload.select(F.to_json(F.struct("*")).alias("payload"))
 
 
-@query()
+@query(f"""WITH {RECORDS} SELECT to_json({{'summary': (SELECT {{'total': count(*), 'online': count(*) FILTER (status_overview = 'online'), 'degraded': count(*) FILTER (status_overview = 'degraded'),
+    'offline': count(*) FILTER (status_overview = 'offline'), 'anomalies': sum(anomalies)::BIGINT}} FROM records),
+  'devices': (SELECT list({{'device': device, 'router_id': router_id, 'region': region, 'status': status, 'status_overview': status_overview, 'anomalies': anomalies, 'rate': rate, 'cumulative': cumulative}} ORDER BY device) FROM records),
+  'chart': (SELECT list({{'router_id': router_id, 'anomalies': anomalies, 'participation': CASE WHEN status <> 'offline' THEN 100 ELSE 0 END}} ORDER BY device) FROM records)}})::VARCHAR AS payload""")
 def operator_index(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.operator_index(records(spark, d)).select(F.to_json(F.struct("*")).alias("payload"))
 
@@ -522,7 +539,7 @@ def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    names = [f"x{i:02d}" for i in range(16)]
+    names = [f"x{i:02d}" for i in range(64)]
     v = table(spark, d, "embeddings")
     return v.select("vec_id", "label", (F.col("vec_id") % DEVICES + 1).cast("int").alias("device_id"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
@@ -547,10 +564,29 @@ def federated_round(spark: SparkSession, d: str) -> DataFrame:
     return federated.fedavg(federated.train_local(v, federated.initial(v, names), names))
 
 
-@query(f"WITH {FLOWS} SELECT DISTINCT router_id, round AS tick, 0 <= 1 AS counted FROM flows")
+@query(f"""WITH {FLOWS}, t AS (SELECT DISTINCT router_id, round AS tick FROM flows), u AS (
+  SELECT router_id, tick, ('0x' || substr(md5('0:' || router_id || ':' || tick), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM t
+), p AS (SELECT k, sum(exp(-1::DOUBLE) / factorial(k::INT)) OVER (ORDER BY k) AS total FROM range(0, 20) AS r(k))
+SELECT router_id, tick, (SELECT count(*) FROM p WHERE u.u > p.total)::INT AS attacks FROM u""")
 def attack_ticks(spark: SparkSession, d: str) -> DataFrame:
     ticks = flows(spark, d).select("router_id", F.col("round").alias("tick")).distinct()
-    return federated.attack_ticks(ticks).select("router_id", "tick", F.col("attacks").between(0, 60).alias("counted"))
+    return federated.attack_ticks(ticks).select("router_id", "tick", "attacks")
+
+
+@query("""WITH p AS (SELECT vec_id, label::INT AS label, embedding[1:10]::DOUBLE[] AS s FROM embeddings), e AS (SELECT *, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM p),
+q AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS q FROM e)
+SELECT vec_id, round(list_max(q), 9) AS largest, (list_position(q, list_max(q)) - 1)::INT AS predicted,
+  round(-(0.5 + label / 4) * pow(1 - q[label + 1], 2) * ln(q[label + 1]), 8) AS loss FROM q""")
+def focal_loss(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), C.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))).alias("q"))
+    alpha = F.array(*[F.lit(0.5 + i / 4) for i in range(10)])
+    return v.select("vec_id", F.round(F.array_max("q"), 9).alias("largest"), C.argmax(F.col("q")).alias("predicted"), F.round(C.focal_loss(F.col("q"), F.col("label"), alpha), 8).alias("loss"))
+
+
+@query()
+def evaluate_weights(spark: SparkSession, d: str) -> DataFrame:
+    v, names = vectors(spark, d)
+    return federated.evaluate(v.withColumn("label", (F.col("label") > 4).cast("int")), federated.initial(v, names), names)
 
 
 # --- formats --------------------------------------------------------------------
@@ -570,14 +606,15 @@ def chart_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, (event_id % 3)::INT AS best, CASE WHEN value > 50 THEN 1 ELSE 0 END AS above, least(greatest(value, 10), 60) AS clipped, round(1 / (1 + exp(-value / 100)), 9) AS p,
-  CASE WHEN event_id % 4 = 0 THEN 'offline' ELSE 'online' END AS state, CASE WHEN event_id % 4 = 1 THEN 'high' ELSE 'low' END AS severity FROM events""")
+  CASE WHEN event_type IN ('click', 'error') THEN 'offline' WHEN event_id % 5 = 1 THEN 'degraded' ELSE 'online' END AS state,
+  CASE event_id % 5 WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM events""")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     scores = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (i == k % 3).cast("double"))
     return flows(spark, d).select(
         "event_id", C.argmax(scores).alias("best"), filters.above(F.col("value"), 50).alias("above"), C.clip(F.col("value"), 10.0, 60.0).alias("clipped"),
-        F.round(C.sigmoid(F.col("value") / 100), 9).alias("p"), C.enum_state(F.when(k % 4 == 0, "OFFLINE").otherwise("strange")).alias("state"),
-        C.enum_severity(F.when(k % 4 == 1, "High").otherwise("odd")).alias("severity"),
+        F.round(C.sigmoid(F.col("value") / 100), 9).alias("p"), C.enum_state(F.when(F.col("type").isin("click", "error"), "OFFLINE").when(k % 5 == 1, "Degraded").when(k % 5 != 2, F.col("type"))).alias("state"),
+        C.enum_severity(F.when(k % 5 == 1, "High").when(k % 5 == 2, "medium").when(k % 5 == 3, "LOW").when(k % 5 == 4, "odd")).alias("severity"),
     )
 
 

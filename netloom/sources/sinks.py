@@ -60,9 +60,12 @@ def json_payload(df: DataFrame, name: str = "payload") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, an own one for local runs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share (spark.checkpoint.dir); where it is unset, an own one, for a local master alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -74,3 +77,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/netloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A stored table of at most so many rows, each of a few short values, may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, name: str, limit: int = SMALL_ROWS) -> DataFrame:
+    """A stored table, to be broadcast if it was counted within ``limit``; otherwise its join shuffles."""
+    table = stored(df, name)
+    return F.broadcast(table) if table.count() <= limit else table

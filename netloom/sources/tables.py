@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,14 +89,18 @@ def feature_list(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def files_by_suffix(folder: str, suffixes: Sequence[str]) -> list[str]:
-    """Paths below a folder with one of the suffixes in any case, by lower-case name and then path."""
-    found = [os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.lower().endswith(tuple(s.lower() for s in suffixes))]
-    return sorted(found, key=lambda p: (os.path.basename(p).lower(), p))
+def files_by_suffix(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> list[str]:
+    """Files below a folder of any store that Spark reads, with one of the suffixes in any case: URIs by lower-case name and then path."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).inputFiles()
+    name = lambda uri: uri.rpartition("/")[2].lower()
+    return sorted((uri for uri in listed if name(uri).endswith(tuple(x.lower() for x in suffixes))), key=lambda uri: (name(uri), uri))
 
 
-def first_existing(candidates: Sequence[str]) -> str:
-    for path in candidates:
-        if os.path.exists(path):
-            return path
+def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
+    """The first path that exists, in whatever store Spark reads it from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for candidate in candidates:
+        path = jvm.org.apache.hadoop.fs.Path(candidate)
+        if path.getFileSystem(conf).exists(path):
+            return candidate
     raise FileNotFoundError(f"none of {list(candidates)}")

@@ -114,7 +114,20 @@ def write_rounds(df: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over all available input into a memory table and return it."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Drive a stream over all available input into Parquet folders, one per batch, beside its checkpoint, and return the rows.
+
+    Of a complete result the last batch counts, otherwise all. A batch that is
+    repeated after a failure replaces its own folder.
+    """
+    written: list[str] = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        path = f"{checkpoint}-{name}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    df.writeStream.outputMode(mode).queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    read = df.sparkSession.read.schema(df.schema)
+    if not written:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return read.parquet(*(written[-1:] if mode == "complete" else dict.fromkeys(written)))

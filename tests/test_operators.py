@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from netloom.functions import columns as C
 from netloom.operators import balancing, encoding, evaluation, federated, filters, fleet, network, projection, ranking, scaling, selection, splitting
 from netloom.plans import training
+from netloom.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -264,3 +266,119 @@ def test_training_pads_and_codes_unknowns(spark, toy):
         assert len(fitted.features) == 3
         fresh = training.transform(spark.createDataFrame([("udp", 3.0)], "proto string, a double"), fitted, "type")
         assert fresh.count() == 1
+
+
+# --- the small network, its losses and its rounds -------------------------------
+
+
+def plain_network(weights, x):
+    """Logits of n -> 64 -> 32 -> 1 by plain products, from (layer, pos, w) rows."""
+    p = [np.zeros(s) for s in ((64, x.shape[1]), (64,), (32, 64), (32,), (1, 32), (1,))]
+    for r in weights:
+        p[r.layer].ravel()[r.pos] = r.w
+    h = np.maximum(x @ p[0].T + p[1], 0)
+    return (np.maximum(h @ p[2].T + p[3], 0) @ p[4].T + p[5])[:, 0]
+
+
+def labelled(spark, n=400, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0.2).astype(int)
+    rows = [(int(i % 3 + 1), *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "device_id int, a double, b double, c double, label int"), x, y
+
+
+def test_scores_and_evaluation_match_plain_products(spark):
+    df, x, y = labelled(spark)
+    w = federated.initial(df, ["a", "b", "c"], 3)
+    z = plain_network(w.collect(), x)
+    p = 1 / (1 + np.exp(-z))
+    got = federated.predict(df, w, ["a", "b", "c"]).collect()
+    assert [r.probability for r in got] == pytest.approx(p.tolist())
+    said = p > 0.5
+    row = federated.evaluate(df, w, ["a", "b", "c"]).first()
+    assert (row.tp, row.tn, row.fp, row.fn) == ((said & (y == 1)).sum(), (~said & (y == 0)).sum(), (said & (y == 0)).sum(), (~said & (y == 1)).sum())
+    assert row.loss == pytest.approx(np.mean(np.log1p(np.exp(z)) - y * z))
+    empty = federated.evaluate(df.limit(0), w, ["a", "b", "c"]).first()
+    assert (empty.tp, empty.loss) == (0, None)
+
+
+def test_a_round_matches_plain_adam(spark):
+    """Batches in the order of the rows' hashes, gradients by differences for the first batch, weights averaged by rows."""
+    df, x, y = labelled(spark, 150)
+    names = ["a", "b", "c"]
+    w = federated.initial(df, names, 1)
+    fits = federated.train_local(df, w, names, seed=5)
+    again = federated.train_local(df.repartition(3), w, names, seed=5)
+    other = federated.train_local(df, w, names, seed=6)
+    table = lambda t: {(r.client_id, r.layer, r.pos): r.w for r in t.collect()}
+    assert table(fits) == table(again)
+    assert table(fits) != table(other)
+    p0 = network.unflat([(r.layer, r.pos, r.w) for r in w.collect()], 3)
+    keyed = df.filter("device_id = 2").withColumn("k", ranking.hash_key([*names, "label"], 5)).orderBy("k").collect()
+    training = network.Training(p0)
+    xs, ys = np.array([[r.a, r.b, r.c] for r in keyed]), np.array([r.label for r in keyed], float)
+    for i in range(0, len(xs), network.BATCH):
+        training.update(xs[i : i + network.BATCH], ys[i : i + network.BATCH])
+    own = {(layer, pos): v for layer, pos, v in network.flat(training.p)}
+    assert {(k[1], k[2]): v for k, v in table(fits).items() if k[0] == 2} == pytest.approx(own)
+    # The first step of Adam moves each weight by the rate against the sign of its slope.
+    step = network.Training(p0)
+    step.update(xs, ys)
+    loss = lambda p: network.loss_of(network.logits(p, xs)[0], ys).mean()
+    for layer, pos in ((0, 4), (1, 7), (2, 100), (3, 3), (4, 5), (5, 0)):
+        up, down = [v.copy() for v in p0], [v.copy() for v in p0]
+        up[layer].ravel()[pos] += 1e-5
+        down[layer].ravel()[pos] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        if abs(slope) > 1e-6:
+            assert step.p[layer].ravel()[pos] - p0[layer].ravel()[pos] == pytest.approx(-network.RATE * np.sign(slope), rel=1e-2)
+    mean = {(r.layer, r.pos): r.w for r in federated.fedavg(fits).collect()}
+    rows = {d: n for d, n in df.groupBy("device_id").count().collect()}
+    held = table(fits)
+    assert mean[0, 4] == pytest.approx(sum(held[d, 0, 4] * n for d, n in rows.items()) / sum(rows.values()))
+
+
+def test_watch_stops_and_slows():
+    w = federated.Watch(patience=3, rate_patience=2, rate=0.1)
+    assert [w.stops(k + 1, x) for k, x in enumerate([1.0, 0.5, 0.49999, 0.6, 0.7, 0.6])] == [False] * 5 + [True]
+    assert w.best == 3
+    assert w.rate == pytest.approx(0.025)
+
+
+def test_rounds_return_the_best_weights(spark, tmp_path):
+    df, _, _ = labelled(spark, 120)
+    names, losses = ["a", "b", "c"], []
+
+    class Seen(federated.Strategy):
+        def evaluate(self, number, weights):
+            losses.append(federated.evaluate(df, weights, names).first().loss)
+
+    n = iter(range(100))
+    out = federated.run_rounds(df, names, 2, lambda t, number: sinks.write_round(t, str(tmp_path / str(next(n))), number), Seen(), watch=federated.Watch(2, 2), validation=df)
+    assert federated.evaluate(df, out, names).first().loss == pytest.approx(min(losses[1:]))
+
+
+def test_poisson_draws_are_not_cut():
+    for rate in (0.5, 1.0, 30.0, 300.0):
+        totals = federated.poisson_totals(rate)
+        assert totals[-1] == pytest.approx(1, abs=1e-12)
+        assert sum(1 - t for t in totals) == pytest.approx(rate, rel=1e-6)
+
+
+def test_focal_loss_and_softmax(spark):
+    scores = [[1000.0, 999.0, -5.0], [0.0, 0.0, 0.0], [-2.0, 3.0, 1.0]]
+    df = spark.createDataFrame([(s, k) for k, s in enumerate(scores)], "s array<double>, y int")
+    rows = df.select("y", C.softmax(F.col("s")).alias("p"), C.focal_loss(C.softmax(F.col("s")), F.col("y"), F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)), 2.0).alias("l")).collect()
+    for r, s in zip(rows, scores, strict=True):
+        e = np.exp(np.array(s) - max(s))
+        p = e / e.sum()
+        assert r.p == pytest.approx(p.tolist())
+        assert r.l == pytest.approx(-(0.5, 1.0, 2.0)[r.y] * (1 - p[r.y]) ** 2 * np.log(p[r.y]))
+
+
+def test_small_sample_is_the_head_of_the_hash_order(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"))
+    whole = [r.k for r in df.orderBy(ranking.hash_key(["k"], 42)).collect()]
+    for n in (1, 70, 5000, 6000):
+        assert sorted(r.k for r in splitting.sample_n(df, n, ["k"]).collect()) == sorted(whole[:n])

@@ -67,10 +67,10 @@ def test_feature_lists_and_paths(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "A.KERAS").touch()
     (tmp_path / "b.keras").touch()
-    assert [os.path.basename(p) for p in tables.files_by_suffix(str(tmp_path), [".keras"])] == ["A.KERAS", "b.keras"]
-    assert tables.first_existing(["/none", str(tmp_path)]) == str(tmp_path)
+    assert [os.path.basename(p) for p in tables.files_by_suffix(spark, str(tmp_path), [".keras"])] == ["A.KERAS", "b.keras"]
+    assert tables.first_existing(spark, ["/none", str(tmp_path)]) == str(tmp_path)
     with pytest.raises(FileNotFoundError):
-        tables.first_existing(["/none"])
+        tables.first_existing(spark, ["/none"])
 
 
 def test_sinks(spark, tmp_path):
