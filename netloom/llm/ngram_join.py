@@ -222,8 +222,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The linked ones of distinct pairs (a, b): a's row times the rows of its partners, a block at a time."""
     sizes = sets.select("class", "n")
     pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(_near_size("n_a", "n_b", share))
-    load = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n_b") / BLOCK_ENTRIES)).alias("blocks"))
-    pairs = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
+    pairs = common.materialize(pairs, "near-sizes")
+    # Only rows with more partners than a block holds are dealt; there are few of them, and one may have very many partners.
+    load = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n_b") / BLOCK_ENTRIES)).alias("blocks")).filter("blocks > 1")
+    load = common.maybe_broadcast(common.materialize(load, "loads"))
+    pairs = pairs.join(load, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("block"))
     pairs = common.materialize(pairs, "pairs")
     members = pairs.join(sets.withColumnRenamed("class", "b"), "b").select("a", "block", "b", "n", "hashes")
     heads = pairs.select("a", "block").distinct().join(sets.withColumnRenamed("class", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "n", "hashes")
@@ -324,7 +327,7 @@ def _grouped(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFr
     # Two classes of different components share only keys that are open or hot; the hot ones have compared them.
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("least_a", "least_b")).alias("least")).filter(F.col("n") >= F.col("least"))
     more = common.materialize(_verify(rest.select("a", "b"), sets, share), "links")
-    return classes, groups, components.connected(links.unionByName(more)).toDF("class", "component")
+    return classes, groups, known if more.isEmpty() else components.connected(links.unionByName(more)).toDF("class", "component")
 
 
 def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
