@@ -105,20 +105,24 @@ class Encoder:
             if len(held) > most:
                 held.clear()
         split = [x.split(" ") for x in texts]
+        rest = [pieces[1:] for pieces in split]
         new: set[str] = set()
-        seen = self.pieces.keys()
-        for pieces in split:
-            new.update(pieces[1:])
-        self._learn([p for p in new - seen if p and not p[0].isspace() and not p[-1].isspace()])
+        for pieces in rest:
+            new.update(pieces)
+        # Asked one by one: a set minus a dictionary's keys goes through all the keys.
+        self._learn([p for p in new if p not in self.pieces and p and not p[0].isspace() and not p[-1].isspace()])
         firsts = self._ids([pieces[0] for pieces in split])
-        get, out = self.pieces.__getitem__, []
-        for text, pieces, first in zip(texts, split, firsts, strict=True):
+        get, out, odd = self.pieces.__getitem__, [], []
+        for i, (pieces, more, first) in enumerate(zip(split, rest, firsts, strict=True)):
             try:
                 if pieces[0][-1:].isspace():
                     raise KeyError
-                out.append(first + b"".join(map(get, pieces[1:])))
+                out.append(first + b"".join(map(get, more)))
             except KeyError:
-                out.append(self._ids([text])[0])
+                out.append(b"")
+                odd.append(i)
+        for i, own in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
+            out[i] = own
         return out
 
 
