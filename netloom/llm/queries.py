@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, decontaminate, fingerprint, license, linefreq, mixing, ngram_join, sharding, substring, tokenbin, toxicity
+from netloom.llm import common, decontaminate, fingerprint, license, linefreq, mixing, ngram_join, periodic, sharding, substring, tokenbin, toxicity, trie
 from netloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,70 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(license.document_paths(table(spark, sf_dir, "documents")))
+
+
+#: CRC-32 in SQL: its table of 256 values from the polynomial, and the value of a string of digits.
+_CRC = """k AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+@_query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op11_conversation_trie"] = rf"""
+WITH {_CRC}, t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, conv_id - conv_id % {trie.GROUP} AS base, {_CRC_OF.format("conv_id::VARCHAR")} % {trie.MOST} AS h FROM (SELECT DISTINCT conv_id FROM t), k),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h
+), q AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, md5(length(role) || ':' || role || text) AS k,
+    len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r
+), p AS (
+  SELECT conv_id, d, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, words FROM q
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), n AS (SELECT d AS depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, node),
+u AS (SELECT n.depth, n.node, p.node AS parent FROM n JOIN p ON p.conv_id = n.conv_id AND p.d = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM u GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, node)),
+subtree AS (
+  SELECT p.d AS depth, p.node, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * own.words) AS saved
+  FROM own JOIN p ON p.conv_id = own.conv_id AND p.d <= own.depth GROUP BY ALL
+), e AS (
+  SELECT depth, node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(d) AS depth, arg_max(node, d) AS node FROM p GROUP BY conv_id) GROUP BY ALL
+)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN subtree USING (depth, node) LEFT JOIN e USING (depth, node) LEFT JOIN u USING (depth, node) LEFT JOIN n AS up ON up.depth = own.depth - 1 AND up.node = u.parent
+"""
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_periodic_runs"] = rf"""
+WITH {_CRC}, d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, {_CRC_OF.format("doc_id::VARCHAR")} AS h FROM documents, k
+), g AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS moved FROM d),
+r AS (SELECT *, CASE WHEN moved THEN g % n ELSE n END AS a, CASE WHEN moved THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM g),
+x AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM r, unnest(range(n)) AS t(i)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM x JOIN x AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * {periodic.TIMES} <= x.n),
+s AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e)
+  GROUP BY doc_id, p, island HAVING count(*) + p >= greatest({periodic.LEAST}, {periodic.TIMES} * p)
+), u AS (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, i FROM u, unnest(range(start + period, start + length)) AS t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+every AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM u GROUP BY doc_id),
+best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
