@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, decontaminate, fingerprint, license, linefreq, mixing, ngram_join, periodic, sharding, substring, tokenbin, toxicity, trie
+from netloom.llm import common, decontaminate, fingerprint, license, linefreq, mixing, ngram_join, packing, periodic, sharding, substring, tokenbin, toxicity, trie
 from netloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +200,8 @@ r AS (
   UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h
 ), q AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, md5(length(role) || ':' || role || text) AS k,
-    len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r
+    len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM r
 ), p AS (
   SELECT conv_id, d, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, words FROM q
   UNION ALL SELECT conv_id, 0, '', 0 FROM c
@@ -219,6 +220,11 @@ FROM own JOIN subtree USING (depth, node) LEFT JOIN e USING (depth, node) LEFT J
 """
 
 
+@_query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
@@ -226,7 +232,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op13_periodic_runs"] = rf"""
 WITH {_CRC}, d AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, {_CRC_OF.format("doc_id::VARCHAR")} AS h FROM documents, k
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, {_CRC_OF.format("doc_id::VARCHAR")} AS h FROM documents, k
 ), g AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS moved FROM d),
 r AS (SELECT *, CASE WHEN moved THEN g % n ELSE n END AS a, CASE WHEN moved THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM g),
 x AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM r, unnest(range(n)) AS t(i)),
