@@ -24,7 +24,9 @@ def test_queries_agree_with_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_other_queries_give_a_row_per_document(spark, sf, name):
-    assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    out = queries.QUERIES[name](spark, sf)
+    out = out.filter("piece = 0") if "piece" in out.columns else out
+    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
 def test_empty_tables(spark):
