@@ -41,10 +41,11 @@ def scaled(hashes: Column, scale: int = SCALE) -> Column:
 
 def with_sketch(df: DataFrame, text: str, sketch: str, size: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Add ``sketch``: array<long>, see ``scaled``. Null text, no words: empty."""
-    kept = [c for c in df.columns if c != sketch]
-    out = df.select(*[F.col(f"`{c}`") for c in kept], common.words_of(F.lower(F.col(text))).alias("__words"))
-    out = out.select(*[F.col(f"`{c}`") for c in kept], shingle_hashes(F.col("__words"), size).alias("__all"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], scaled(F.col("__all"), scale).alias(sketch))
+    kept = [c for c in df.columns if c.lower() != sketch.lower()]
+    # The row as one column, so that its columns may have any name.
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), common.words_of(F.lower(F.col(f"`{text}`"))).alias("words"))
+    out = out.select("row", shingle_hashes(F.col("words"), size).alias("hashes")).select("row", scaled(F.col("hashes"), scale).alias("sketch"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("sketch").alias(sketch))
 
 
 def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
@@ -124,7 +125,8 @@ def fingerprint_edits(docs: DataFrame, size: int = WORDS, scale: int = SCALE) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.shiftright(F.xxhash64("text"), 1) + F.lit(2**62))
-    bucket = _cells(docs, "doc_id", "h")
+    # Known not to be null: else the join below makes Spark filter one copy of the table for that, and shuffle the texts twice.
+    bucket = F.coalesce(_cells(docs, "doc_id", "h"), F.lit(0).cast("long"))
     base = with_sketch(docs, "text", "sketch", size, scale)
     base = base.withColumn("bucket", bucket)
     order = Window.partitionBy("bucket").orderBy("doc_id", "h", "text")
