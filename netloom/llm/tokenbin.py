@@ -15,10 +15,8 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
-import sys
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm import common
+from netloom.llm import bytewords, common, wordids
 
 END = 0
 LEVEL = 3
@@ -35,8 +33,7 @@ LEVEL = 3
 DICTIONARY_BYTES, SAMPLE_DOCS = 64 * 1024, 800
 #: A block closes at so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4 * 2**20, 8192
-#: Pieces whose ids a Python worker remembers; of their parts, twice as many.
-CACHE = 600_000
+_SPACE = np.arange(256) == 32
 _HEAD = struct.Struct("<4sBB32sI")
 
 
@@ -47,83 +44,60 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizers library gives them, remembered for parts of texts.
+    """Ids of whole texts, as the tokenizers library gives them, remembered for pieces and parts of texts.
 
     A byte-level tokenizer never joins characters across a blank that follows and
     precedes others, so a text's ids are those of its first piece and of each
-    blank with the piece behind it; within a piece, those of the parts that the
-    tokenizer's own pattern cuts. Texts where a blank stands next to other white
-    space, and pieces with a special token, go through the library whole.
+    blank with the piece behind it; of a piece, those of its letters and of the
+    signs behind them. Texts where a blank stands next to other white
+    space or at an end go through the library whole, and so do pieces with a
+    special token. Pieces are known by 64-bit hashes.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = wordids.CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        kind, out = "H" if self.dtype.itemsize == 2 else "I", []
-        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = array(kind, x.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            out.append(ids.tobytes())
+        self.parts = wordids.Parts(self.tokenizer, begins="Ġ")
+        self.pieces = wordids.WordIds(self._learn, self.dtype, cache)
+
+    def _learn(self, pieces: list[str], leads: list[bool]) -> list[list[int] | None]:
+        """The ids of pieces, each with a blank before it but for those that lead a text; None where white space would meet a blank."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        cut, alone = {}, {}
+        every = " ".join(pieces)
+        special = [x for x in self.special if x in every]
+        for i, (p, lead) in enumerate(zip(pieces, leads, strict=True)):
+            if p[-1].isspace() or (p[0].isspace() and not lead):
+                continue
+            if lead or any(x in p for x in special):
+                alone[i] = p if lead else " " + p
+            else:
+                # Letters stand for themselves behind a blank; what is cut otherwise stays whole.
+                cut[i] = wordids.letters_and_signs(p) or (" " + p,)
+        for found, ids in ((cut, self.parts.of(list(cut.values()))), (alone, self.parts.alone(list(alone.values())))):
+            for i, own in zip(found, ids, strict=True):
+                out[i] = own
         return out
 
-    def _parts(self, piece: str) -> list[str] | tuple[str, ...]:
-        """What the tokenizer's pattern cuts a blank and a piece into; plain words need no search."""
-        if piece.isalpha():
-            return (" " + piece,)
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return " " + piece[:-1], piece[-1]
-        return self.parts(" " + piece)
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of new pieces, each with a blank before it."""
-        plain, odd = [], []
-        for p in new:
-            (odd if any(x in p for x in self.special) else plain).append(p)
-        cut = [self._parts(p) for p in plain]
-        unseen = list({t for parts in cut for t in parts if t not in self.known})
-        self.known.update(zip(unseen, self._ids(unseen), strict=True))
-        get = self.known.__getitem__
-        self.pieces.update((p, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for p, parts in zip(plain, cut, strict=True))
-        self.pieces.update(zip(odd, self._ids([" " + p for p in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The serialized ids of each text."""
-        for held, most in ((self.pieces, self.cache), (self.known, 2 * self.cache)):
-            if len(held) > most:
-                held.clear()
-        split = [x.split(" ") for x in texts]
-        rest = [pieces[1:] for pieces in split]
-        new: set[str] = set()
-        for pieces in rest:
-            new.update(pieces)
-        # Asked one by one: a set minus a dictionary's keys goes through all the keys.
-        self._learn([p for p in new if p not in self.pieces and p and not p[0].isspace() and not p[-1].isspace()])
-        firsts = self._ids([pieces[0] for pieces in split])
-        get, out, odd = self.pieces.__getitem__, [], []
-        for i, (pieces, more, first) in enumerate(zip(split, rest, firsts, strict=True)):
-            try:
-                if pieces[0][-1:].isspace():
-                    raise KeyError
-                out.append(first + b"".join(map(get, more)))
-            except KeyError:
-                out.append(b"")
-                odd.append(i)
-        for i, own in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = own
-        return out
+        for low, block in bytewords.blocks(texts, lower=False, blank=_SPACE):
+            first, n = block.first, len(block.first) - 1
+            spaces = np.concatenate([[0], np.cumsum(block.data == 32)])[block.offsets]
+            # One piece more than blanks: no blank stands at an end or next to another one.
+            plain = np.diff(first) == np.diff(spaces) + 1
+            leads = np.zeros(len(block.hashes), bool)
+            leads[first[:-1][plain]] = True
+            ids, at, odd = self.pieces.encode(block, leads)
+            plain &= np.diff(np.concatenate([[0], np.cumsum(odd)])[first]) == 0
+            rest = np.flatnonzero(~plain).tolist()
+            whole = dict(zip(rest, self.parts.alone([texts[low + i].as_py() or "" for i in rest]), strict=True))
+            for i in range(n):
+                yield (np.array(whole[i], self.dtype) if i in whole else ids[at[i] : at[i + 1]]).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -141,13 +115,20 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Ids alone choose the sample; only then are its texts fetched. Of repeated ids one text counts.
     """
-    picked = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
-    picked = picked.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text"))
+    count = docs.count()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    h = F.xxhash64("doc_id")
+    if count > 2 * SAMPLE_DOCS:
+        # About twice as many as are taken, by a threshold; repeated ids add up within their tasks first.
+        ids = ids.filter(h < int(2**64 * min(1.0, 2 * SAMPLE_DOCS / count)) - 2**63)
+    picked = ids.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(h).alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
+    picked = common.materialize(picked, "sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
+    texts = texts.groupBy("h", "doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        samples = [x for x in encoder_of(tokenizer).encode([r[2] for r in rows]) if x]
+        samples = [x for x in encoder_of(tokenizer).encode(pa.array([r[2] for r in rows], pa.string())) if x]
         try:
             dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
@@ -189,12 +170,12 @@ class Block:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Write the documents' ids under ``path`` in ascending doc_id order (null ids first, equal ids by text).
+    """Write the documents' ids under ``path`` in ascending doc_id order (null ids first, equal ids by their texts' hashes).
 
     ``path/blocks`` holds rows (part, seq, first_id, last_id, n_docs, n_tokens,
     block); their order by (part, seq) is the order of documents. ``path/dictionary``
     holds the dictionary. A null text is empty: its ids are the end id alone.
-    Only doc_id and text are read. Range partitioning keeps a hot id range apart.
+    Only doc_id and text are read. Range partitions hold any part of a hot id's rows.
     """
     tokenizer = tokenizer or tokenizer_path()
     spark = docs.sparkSession
@@ -215,23 +196,23 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                some = batch.slice(low, 500)
-                for doc_id, own in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    own += end
-                    ids.append(doc_id)
-                    frames.append(writer.compress(own))
-                    tokens += len(own) // encoder.dtype.itemsize
-                    size += len(frames[-1])
-                    if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
-                        yield flush()
-                        seq, ids, frames, size, tokens = seq + 1, [], [], 0, 0
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                own += end
+                ids.append(doc_id)
+                frames.append(writer.compress(own))
+                tokens += len(own) // encoder.dtype.itemsize
+                size += len(frames[-1])
+                if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+                    yield flush()
+                    seq, ids, frames, size, tokens = seq + 1, [], [], 0, 0
         if ids:
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("block", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # By the hash too, or all rows without an id, or with one id, would be one task; by the row number for one text's copies under one id.
+    order = ["doc_id", "h", "row"]
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(run, "part int, seq int, first_id long, last_id long, n_docs int, n_tokens long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
@@ -265,10 +246,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of one document (of each row with that id): only blocks whose id range holds it are opened."""
+    """The ids of one document (of each row with that id): only blocks whose id range holds it are opened, one at a time."""
     dictionary = _dictionary(spark, path)
-    rows = spark.read.parquet(f"{path}/blocks").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("block").collect()
-    blocks = [Block(bytes(r.block), dictionary) for r in rows]
+    rows = spark.read.parquet(f"{path}/blocks").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("block")
+    blocks = (Block(bytes(r.block), dictionary) for r in rows.toLocalIterator())
     return [b.ids(i) for b in blocks for i, x in enumerate(b.doc_ids) if x == doc_id]
 
 
