@@ -24,19 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm import bytewords, common
+from netloom.llm import bytewords, common, wordids
 
 CAPACITY, END = 4096, 1
 #: Pieces of a block; islands of a block, epochs, generations of an epoch, solutions of an island, and those that migrate.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 500, 3, 3, 20, 12, 2
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 500, 3, 2, 6, 8, 2
 #: Bins with at least so many tokens stay closed when blocks are dealt anew; rounds of dealing at most.
 CLOSED, LEVELS = CAPACITY - 8, 8
 #: Dealing ends when more than this part of the pieces would be dealt again: then opening bins wins little.
 STUCK = 0.8
 #: Islands of a task at least, and tasks at most.
 TASK_ISLANDS, MOST_TASKS = 8, 20_000
-#: Words whose ids a Python worker remembers.
-CACHE = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,51 +47,25 @@ class WordEncoder:
     """Ids of texts from remembered ids of their words.
 
     For a tokenizer that drops white space and never joins across it: a text's ids
-    are those of its words between ASCII blanks, one after another. Words are known
-    by 64-bit hashes; each is given to the library once, whole.
+    are those of its words between ASCII blanks, one after another.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = wordids.CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Take in new words, in the order of their hashes."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        while self.used + size.sum() > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u4")])
-        at = self.used + np.cumsum(size) - size
-        self.pool[self.used : self.used + size.sum()] = [i for x in ids for i in x]
-        self.used += int(size.sum())
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.at, self.size = np.insert(self.hashes, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts = wordids.Parts(self.tokenizer, ends="</w>")
+        self.words = wordids.WordIds(self._learn, cache=cache)
+
+    def _learn(self, words: list[str], _: list[bool]) -> list[list[int]]:
+        """Words of letters, with a punctuation mark or without, in lower case as the tokenizer takes them; the others whole."""
+        cut = [wordids.letters_and_signs(w) for w in words]
+        return self.parts.of([(w,) if c is None else (c[0].lower(), *c[1:]) for w, c in zip(words, cut, strict=True)])
 
     def encode(self, block: bytewords.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of a block of documents, document i's at first[i]:first[i + 1]."""
-        if len(self.hashes) > self.cache:
-            self._forget()
-        own, index, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, own)
-        known = np.zeros(len(own), bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == own[inside]
-        if not known.all():
-            new = index[~known]
-            data = block.data.tobytes()
-            self._learn(own[~known], [data[a:b].decode() for a, b in zip(block.starts[new].tolist(), block.ends[new].tolist(), strict=True)])
-            place = np.searchsorted(self.hashes, own)
-        at, size = self.at[place][inverse], self.size[place][inverse]
-        before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(at - before[:-1], size) + np.arange(before[-1])] if before[-1] else np.zeros(0, "<u4")
-        return ids, before[block.first]
+        return self.words.encode(block)[:2]
 
 
 _encoders: dict[str, WordEncoder] = {}
