@@ -248,7 +248,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     """The ids of one document (of each row with that id): only blocks whose id range holds it are opened, one at a time."""
     dictionary = _dictionary(spark, path)
-    rows = spark.read.parquet(f"{path}/blocks").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("block")
+    rows = spark.read.parquet(f"{path}/blocks").filter((F.coalesce("first_id", F.lit(doc_id)) <= doc_id) & (F.col("last_id") >= doc_id)).select("block")
     blocks = (Block(bytes(r.block), dictionary) for r in rows.toLocalIterator())
     return [b.ids(i) for b in blocks for i, x in enumerate(b.doc_ids) if x == doc_id]
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm import bytewords, packing, periodic, queries, trie
+from netloom.llm import bytewords, common, packing, periodic, queries, tokenbin, trie
 from tests.llm import brute
 from tests.llm.conftest import frame
 
@@ -179,6 +179,30 @@ def test_encoder_forgets(spark):
                 assert ids[first[i] : first[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_token_block_encoder_forgets_and_meets_odd_texts():
+    import pyarrow as pa
+
+    encoder = tokenbin.Encoder(tokenbin.tokenizer_path(), cache=10)
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "\na b", "a b\n", "it's, ok. it's", "a <|endoftext|>b", "<|endoftext|>", None, "x\u00a0 y", "x\u00a0y z", "\x1c q", "é è 12,5 %"]
+    for k in range(3):
+        some = [*texts, *(f"w{i} w{i + k}, w{k}" for i in range(30))]
+        for x, own in zip(some, encoder.encode(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(own, encoder.dtype).tolist() == encoder.tokenizer.encode(x or "", add_special_tokens=False).ids
+
+
+def test_token_blocks_deal_hot_ids(spark):
+    path = common.scratch_path(spark, "hot-tokens")
+    rows = [(None, f"none {i}") for i in range(3000)] + [(5, "the same")] * 3000 + [(i, "x") for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenbin.write(frame(spark, rows), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 0.4 * len(rows)
+    assert len(tokenbin.read_ids(spark, path, 5)) == 3001
+
+
 # --- 13 -----------------------------------------------------------------------
 
 
@@ -240,3 +264,19 @@ def test_periodic_documents(spark, corpus):
 
 def test_the_new_queries_are_registered():
     assert {"op11_conversation_trie", "op12_best_fit_packing", "op13_periodic_runs"} <= set(queries.QUERIES)
+
+
+# --- 1 ------------------------------------------------------------------------
+
+
+def test_fingerprints_shuffle_texts_once_and_keep_odd_columns(spark, corpus):
+    from netloom.llm import fingerprint
+
+    out = fingerprint.fingerprint_edits(frame(spark, corpus))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    odd = frame(spark, corpus[:5]).withColumns({c: F.lit(c) for c in ("__words", "__all", "row", "words", "hashes")})
+    sketched = fingerprint.with_sketch(odd, "text", "s")
+    assert sketched.columns == [*odd.columns, "s"]
+    assert [r["__words"] for r in sketched.collect()] == ["__words"] * 5
