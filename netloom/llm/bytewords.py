@@ -59,7 +59,7 @@ class Block:
     word; first: for document i, words first[i]:first[i + 1].
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True, blank: np.ndarray = _BLANK):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True, blank: np.ndarray = _BLANK, cut: tuple[np.ndarray, np.ndarray] | None = None):
         self.data, self.offsets = data, offsets
         n = len(data)
         word = ~blank[data]
@@ -70,6 +70,10 @@ class Block:
         ends = word.copy()
         ends[:-1] &= ~word[1:]
         ends[borders - 1] = word[borders - 1]
+        if cut and n:
+            one, other = cut[0][data], cut[1][data]
+            between = np.flatnonzero((one[:-1] & other[1:]) | (other[:-1] & one[1:]))
+            ends[between], begins[between + 1] = True, True
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, offsets)
         if hashed:
@@ -101,8 +105,12 @@ class Block:
         return mix(np.array([(own * _PLACE[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0]
 
 
-def blocks(texts: pa.Array, lower: bool, hashed: bool = True, blank: np.ndarray = _BLANK) -> Iterator[tuple[int, Block]]:
-    """(index of the first document, Block) over an Arrow string array; null texts are empty. blank: which bytes separate words."""
+def blocks(texts: pa.Array, lower: bool, hashed: bool = True, blank: np.ndarray = _BLANK, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, Block]]:
+    """(index of the first document, Block) over an Arrow string array; null texts are empty.
+
+    blank: which bytes separate words. cut: two kinds of bytes; where one of either
+    kind stands next to one of the other, a word ends and another begins.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_binary())
@@ -114,5 +122,5 @@ def blocks(texts: pa.Array, lower: bool, hashed: bool = True, blank: np.ndarray
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-        yield at, Block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, hashed, blank)
+        yield at, Block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, hashed, blank, cut)
         at = to

@@ -13,10 +13,9 @@ Layout (little-endian): "NLTB", version u8, bytes for an id u8, dictionary SHA-2
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm import bytewords, common, wordids
+from netloom.llm import common, wordids
 
 END = 0
 LEVEL = 3
@@ -33,7 +32,6 @@ LEVEL = 3
 DICTIONARY_BYTES, SAMPLE_DOCS = 64 * 1024, 800
 #: A block closes at so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4 * 2**20, 8192
-_SPACE = np.arange(256) == 32
 _HEAD = struct.Struct("<4sBB32sI")
 
 
@@ -43,71 +41,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of whole texts, as the tokenizers library gives them, remembered for pieces and parts of texts.
-
-    A byte-level tokenizer never joins characters across a blank that follows and
-    precedes others, so a text's ids are those of its first piece and of each
-    blank with the piece behind it; of a piece, those of its letters and of the
-    signs behind them. Texts where a blank stands next to other white
-    space or at an end go through the library whole, and so do pieces with a
-    special token. Pieces are known by 64-bit hashes.
-    """
-
-    def __init__(self, path: str, cache: int = wordids.CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = wordids.Parts(self.tokenizer, begins="Ġ")
-        self.pieces = wordids.WordIds(self._learn, self.dtype, cache)
-
-    def _learn(self, pieces: list[str], leads: list[bool]) -> list[list[int] | None]:
-        """The ids of pieces, each with a blank before it but for those that lead a text; None where white space would meet a blank."""
-        out: list[list[int] | None] = [None] * len(pieces)
-        cut, alone = {}, {}
-        every = " ".join(pieces)
-        special = [x for x in self.special if x in every]
-        for i, (p, lead) in enumerate(zip(pieces, leads, strict=True)):
-            if p[-1].isspace() or (p[0].isspace() and not lead):
-                continue
-            if lead or any(x in p for x in special):
-                alone[i] = p if lead else " " + p
-            else:
-                # Letters stand for themselves behind a blank; what is cut otherwise stays whole.
-                cut[i] = wordids.letters_and_signs(p) or (" " + p,)
-        for found, ids in ((cut, self.parts.of(list(cut.values()))), (alone, self.parts.alone(list(alone.values())))):
-            for i, own in zip(found, ids, strict=True):
-                out[i] = own
-        return out
-
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        """The serialized ids of each text."""
-        for low, block in bytewords.blocks(texts, lower=False, blank=_SPACE):
-            first, n = block.first, len(block.first) - 1
-            spaces = np.concatenate([[0], np.cumsum(block.data == 32)])[block.offsets]
-            # One piece more than blanks: no blank stands at an end or next to another one.
-            plain = np.diff(first) == np.diff(spaces) + 1
-            leads = np.zeros(len(block.hashes), bool)
-            leads[first[:-1][plain]] = True
-            ids, at, odd = self.pieces.encode(block, leads)
-            plain &= np.diff(np.concatenate([[0], np.cumsum(odd)])[first]) == 0
-            rest = np.flatnonzero(~plain).tolist()
-            whole = dict(zip(rest, self.parts.alone([texts[low + i].as_py() or "" for i in rest]), strict=True))
-            for i in range(n):
-                yield (np.array(whole[i], self.dtype) if i in whole else ids[at[i] : at[i + 1]]).tobytes()
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder for each Python worker: what it remembers serves later tasks too."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder_of(path: str) -> wordids.TextIds:
+    """This Python worker's encoder."""
+    return wordids.text_ids(path, True)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -128,7 +64,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        samples = [x for x in encoder_of(tokenizer).encode(pa.array([r[2] for r in rows], pa.string())) if x]
+        samples = [x.tobytes() for x in encoder_of(tokenizer).encode(pa.array([r[2] for r in rows], pa.string())) if len(x)]
         try:
             dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
@@ -196,8 +132,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
-                own += end
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                own = found.tobytes() + end
                 ids.append(doc_id)
                 frames.append(writer.compress(own))
                 tokens += len(own) // encoder.dtype.itemsize
