@@ -13,7 +13,6 @@ pieces dealt into fewer blocks, until one block is left or nothing is won.
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ from netloom.llm import bytewords, common, wordids
 
 CAPACITY, END = 4096, 1
 #: Pieces of a block; islands of a block, epochs, generations of an epoch, solutions of an island, and those that migrate.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 500, 3, 2, 6, 8, 2
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 500, 3, 2, 4, 4, 1
 #: Bins with at least so many tokens stay closed when blocks are dealt anew; rounds of dealing at most.
 CLOSED, LEVELS = CAPACITY - 8, 8
 #: Dealing ends when more than this part of the pieces would be dealt again: then opening bins wins little.
@@ -43,41 +42,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Ids of texts from remembered ids of their words.
-
-    For a tokenizer that drops white space and never joins across it: a text's ids
-    are those of its words between ASCII blanks, one after another.
-    """
-
-    def __init__(self, path: str, cache: int = wordids.CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts = wordids.Parts(self.tokenizer, ends="</w>")
-        self.words = wordids.WordIds(self._learn, cache=cache)
-
-    def _learn(self, words: list[str], _: list[bool]) -> list[list[int]]:
-        """Words of letters, with a punctuation mark or without, in lower case as the tokenizer takes them; the others whole."""
-        cut = [wordids.letters_and_signs(w) for w in words]
-        return self.parts.of([(w,) if c is None else (c[0].lower(), *c[1:]) for w, c in zip(words, cut, strict=True)])
-
-    def encode(self, block: bytewords.Block) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first): the ids of a block of documents, document i's at first[i]:first[i + 1]."""
-        return self.words.encode(block)[:2]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    """One encoder for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32): every document's ids with the end id, cut after each ``capacity`` ids.
 
@@ -87,31 +51,29 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid = encoder_of(tokenizer), TaskContext.get().partitionId() << 33
+        encoder, uid = wordids.text_ids(tokenizer, False, "<u4"), TaskContext.get().partitionId() << 33
+        end, kinds = np.array([END], "<u4"), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for low, block in bytewords.blocks(batch.column(1), lower=False):
-                ids, first = encoder.encode(block)
-                rows = []
-                for i, doc_id in enumerate(batch.column(0).slice(low, len(first) - 1).to_pylist()):
-                    own = np.append(ids[first[i] : first[i + 1]], np.uint32(END)).astype("<u4")
-                    for k, start in enumerate(range(0, len(own), capacity)):
-                        part = own[start : start + capacity]
-                        rows.append((uid, doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
-                        uid += 1
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+            rows = []
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                own = np.concatenate([ids, end])
+                for k, start in enumerate(range(0, len(own), capacity)):
+                    part = own[start : start + capacity]
+                    rows.append((uid, doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
+                    uid += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], items: list[int], bins: np.ndarray, spaces: list[tuple[int, int]], new: int, capacity: int) -> int:
-    """Put ``items``, the longest first, each into the fullest bin that takes it; returns the next free bin number.
+    """Put ``items``, one after another, each into the fullest bin that takes it; returns the next free bin number.
 
     bins: each item's bin, written to. spaces: (space left, bin), sorted.
     """
-    for i in sorted(items, key=lambda i: -lengths[i]):
+    for i in items:
         size = lengths[i]
         k = bisect_left(spaces, (size,))
         if k == len(spaces):
@@ -146,13 +108,9 @@ def settled(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, clo
 
 def first_solution(lengths: np.ndarray, capacity: int = CAPACITY, order: np.ndarray | None = None) -> np.ndarray:
     """Best fit in falling order, or in a given one."""
-    bins = np.zeros(len(lengths), np.int32)
-    keys = (lengths if order is None else order).tolist()
-    sizes = lengths.tolist()
-    spaces: list[tuple[int, int]] = []
-    new = 0
-    for i in sorted(range(len(sizes)), key=lambda i: -keys[i]):
-        new = best_fit(sizes, [i], bins, spaces, new, capacity)
+    bins, sizes = np.zeros(len(lengths), np.int32), lengths.tolist()
+    keys = sizes if order is None else order.tolist()
+    best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -keys[i]), bins, [], 0, capacity)
     return bins
 
 
@@ -174,6 +132,7 @@ def child(lengths: np.ndarray, one: np.ndarray, other: np.ndarray, rng: np.rando
     spaces = sorted(zip(left.tolist(), kept.tolist(), strict=True))
     spaces += zip((capacity - fills[chosen]).tolist(), (chosen + len(own)).tolist(), strict=True)
     spaces.sort()
+    displaced = displaced[np.argsort(-lengths[displaced], kind="stable")]
     best_fit(lengths.tolist(), displaced.tolist(), out, spaces, len(own) + len(fills), capacity)
     return _compact(out)
 
