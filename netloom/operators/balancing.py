@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.neighbours import BLOCK, nearest
 from netloom.operators.ranking import with_rank
 from netloom.sources.sinks import small_side, stored
 
-#: Rows of a block; an oversampling task compares two blocks of a class.
-CHUNK = 5000
 #: Rows that are drawn from one row at a time.
 PIECE = 10_000
 
@@ -43,48 +40,14 @@ def focal_alpha(df: DataFrame, target: str, classes: DataFrame, low: float = 0.5
     return counts.select(target, "n", F.least(F.greatest(alpha, F.lit(low)), F.lit(high)).alias("alpha"))
 
 
-def _nearest(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
-    """(__class, __rank, near): the ranks of each row's k nearest of its class, nearest first; of equal ones, lower ranks.
-
-    rows: __class, __rank, __block and __blocks, how many the class has. A task
-    compares the rows of one block with those of another of the same class.
-    """
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
-    bases = rows.withColumn("__other", other).withColumn("__seeks", F.lit(True))
-    found = rows.withColumnsRenamed({"__block": "__other"}).withColumn("__block", other).withColumn("__seeks", F.lit(False))
-
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["__seeks"]], frame[~frame["__seeks"]].sort_values("__rank")
-        x, y = left[list(features)].to_numpy(float), right[list(features)].to_numpy(float)
-        own, ranks = left["__rank"].to_numpy(), right["__rank"].to_numpy()
-        tops, gaps, owners = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-        for i in range(0, len(x), 512):
-            d = np.zeros((len(x[i : i + 512]), len(y)))
-            for j in range(x.shape[1]):
-                d += (x[i : i + 512, j, None] - y[None, :, j]) ** 2
-            d[np.isnan(d)] = np.inf
-            for at, row in enumerate(d):
-                some = np.flatnonzero(row <= np.partition(row, k)[k]) if len(row) > k + 1 else np.arange(len(row))
-                some = some[ranks[some] != own[i + at]]
-                some = some[np.argsort(row[some], kind="stable")[:k]]
-                tops.append(ranks[some])
-                gaps.append(row[some])
-                owners.append(np.full(len(some), own[i + at]))
-        out = {"__rank": np.concatenate(owners), "gap": np.concatenate(gaps), "rank": np.concatenate(tops)}
-        return pd.DataFrame({"__class": np.full(len(out["rank"]), key[0], np.int32), **out})
-
-    tops = bases.unionByName(found).groupBy("__class", "__block", "__other").applyInPandas(compare, "__class int, __rank long, gap double, rank long")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("gap", "rank"))), 1, k)
-    return tops.groupBy("__class", "__rank").agg(F.transform(best, lambda t: t["rank"]).alias("near"))
-
-
-def smote(df: DataFrame, features: Sequence[str], target: str, key: str, seed: int = 42, neighbours: int = 5, chunk: int = CHUNK) -> DataFrame:
+def smote(df: DataFrame, features: Sequence[str], target: str, key: str, seed: int = 42, neighbours: int = 5, chunk: int = BLOCK) -> DataFrame:
     """The rows, and synthetic ones until every class has as many as the largest.
 
     A synthetic row lies between a row and one of its k nearest of the same class,
     k = min(neighbours, max(1, smallest class - 1)); nothing is added if a class has
-    fewer than two rows. Neighbours are sought in the whole class, by pairs of blocks
-    of ``chunk`` rows; the rows made do not depend on ``chunk``. Output: target, features, synthetic.
+    fewer than two rows. Neighbours are sought in the whole class, in rings of
+    ``chunk`` rows (see ``neighbours``); the rows made do not depend on ``chunk``.
+    Output: target, features, synthetic.
     """
     counts = class_counts(df, target).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
     own = df.select(target, *features, F.lit(False).alias("synthetic"))
@@ -96,8 +59,8 @@ def smote(df: DataFrame, features: Sequence[str], target: str, key: str, seed: i
     short = df.select(target, F.col(key).alias("__key"), *[F.col(c).cast("double").alias(c) for c in features]).join(sizes, F.col(target).eqNullSafe(F.col("__target")))
     ranked = with_rank(short, F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(4096)), [F.col("__key"), *[F.col(c) for c in features]], ["__class"], "__rank")
     rows = stored(ranked.select("__class", "__rank", "n", *features), "rows")
-    blocks = rows.withColumns({"__block": F.floor((F.col("__rank") - 1) / chunk), "__blocks": F.ceil(F.col("n") / chunk)}).drop("n")
-    near = _nearest(blocks, features, k)
+    found = nearest(rows.select(F.col("__class").alias("g"), F.col("__rank").alias("id"), F.array(*features).alias("x")), k, chunk)
+    near = found.select(F.col("g").cast("int").alias("__class"), F.col("id").alias("__rank"), "near")
 
     # The i-th row that a class lacks is drawn by hashes: a row of the class, one of its neighbours, a place between.
     first = F.col("__piece") * PIECE

@@ -189,11 +189,14 @@ def se_dwnet(s: Scope, x: Var, stem: int = 64, stages: Sequence[tuple[int, int]]
 
 
 def resnet_mlp(s: Scope, x: Var, width: int = 256, rate: float = 0.3, heads: int = 0, key_size: int = 8, attention_rate: float = 0.0) -> Var:
-    """Dense layers with one gated residual part; with ``heads``, columns attend to one another first."""
+    """Dense layers with one gated residual part; with ``heads``, columns attend to one another first.
+
+    What attention gives is normalised over the columns: a column is one number,
+    and normalised by itself would always be 0.
+    """
     if heads:
         tokens = slopes.reshape(x, (*x.shape, 1))
-        tokens = normalise_rows(s, "columns/norm", tokens + attention(s, "columns", tokens, heads, key_size, attention_rate))
-        x = slopes.reshape(tokens, x.shape)
+        x = normalise_rows(s, "columns/norm", slopes.reshape(tokens + attention(s, "columns", tokens, heads, key_size, attention_rate), x.shape))
     layer = lambda name, x: normalise(s, f"{name}/norm", dense(s, name, x, width, he_normal))
     x = past = dropout(s, slopes.relu(layer("dense0", x)), rate)
     x = layer("dense2", dropout(s, slopes.relu(layer("dense1", x)), rate))

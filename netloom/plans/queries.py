@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from netloom.functions import columns as C
 from netloom.operators import balancing, encoding, evaluation, federated, filters, fleet, projection, ranking, scaling, selection, splitting
-from netloom.plans import dashboard, training
+from netloom.plans import dashboard, recognition, training
 from netloom.sources.sinks import shared_folder
 from netloom.sources.tables import infer_types, supervised, table
 from netloom.streaming import rounds as streams
@@ -589,6 +589,62 @@ def evaluate_weights(spark: SparkSession, d: str) -> DataFrame:
     return federated.evaluate(v.withColumn("label", (F.col("label") > 4).cast("int")), federated.initial(v, names), names)
 
 
+#: Letters whose shares tell the languages of the tables' texts apart.
+LETTERS = "abcdefghijklmnopqrstuvwxyzéèêçàäöüßñóíáú"
+
+
+def letter_shares(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """(lang, shares of letters in thousandths): columns of numbers with classes that can be learned from them; a null text has none."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    size = F.greatest(F.length(text), F.lit(1))
+    names = [f"share_{ord(c)}" for c in LETTERS]
+    shares = [(F.lit(1000.0) * (F.length(text) - F.length(F.translate(text, c, ""))) / size).alias(n) for c, n in zip(LETTERS, names, strict=True)]
+    return table(spark, d, "documents").select("lang", *shares), names
+
+
+#: Small forms of the networks, trained for a few passes of at most so many steps.
+SMALL = {"epochs": 6, "micro": 64, "momentum": 0.8, "rate": 0.01}
+SMALL_STEPS = 12
+
+
+def _recipe(df: DataFrame, network: str, options: dict, **more: object) -> recognition.Recipe:
+    batch = max(128, -(-df.count() // SMALL_STEPS))
+    return recognition.Recipe(network, options, batch=batch, **{**SMALL, **more})
+
+
+@query()
+def sedwnet_report(spark: SparkSession, d: str) -> DataFrame:
+    """A separable-convolution network, focal loss: the report on the held-out fifth."""
+    df, names = letter_shares(spark, d)
+    recipe = _recipe(df, "se_dwnet", {"stem": 8, "stages": ((8, 1), (16, 2), (32, 2)), "rate": 0.1})
+    return recognition.base_training(df, "lang", names, recipe, categorical=[]).report()
+
+
+@query()
+def resnet_report(spark: SparkSession, d: str) -> DataFrame:
+    """A gated dense network whose columns attend to one another first."""
+    df, names = letter_shares(spark, d)
+    recipe = _recipe(df, "resnet_mlp", {"width": 32, "heads": 2, "key_size": 4, "rate": 0.1})
+    return recognition.base_training(df, "lang", names, recipe, categorical=[]).report()
+
+
+@query()
+def bilstm_report(spark: SparkSession, d: str) -> DataFrame:
+    """Bidirectional LSTMs over five parts of the columns, classes oversampled and weighted."""
+    df, names = letter_shares(spark, d)
+    recipe = _recipe(df, "bilstm", {"units": (16, 8, 8), "rates": (0.1, 0.1, 0.1), "width": 16, "steps": 5}, focal=False, oversample=True, clip=None)
+    return recognition.base_training(df, "lang", names, recipe, categorical=[]).report()
+
+
+@query()
+def transfer_report(spark: SparkSession, d: str) -> DataFrame:
+    """A network of three classes takes on a fourth one: new head, frozen layers first."""
+    df, names = letter_shares(spark, d)
+    recipe = _recipe(df, "resnet_mlp", {"width": 32, "rate": 0.1})
+    base = recognition.base_training(df.filter("lang <> 'es'"), "lang", names, recipe, categorical=[])
+    return recognition.transfer_training(base, df, "lang", names, recipe, frozen_epochs=2, epochs=4, rates=(0.02, 0.005)).report()
+
+
 # --- formats --------------------------------------------------------------------
 
 
