@@ -62,27 +62,20 @@ def decontaminate(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int =
     hashes of all runs of that length. Only ``text``, ``item_id`` are read, so
     other columns may have any name. Equal texts are compared once.
     """
-    return _contaminated(keyed(docs, span, k, bench), docs, bench, span, k)
+    return _contaminated(keyed(docs, span, k), docs, bench, span, k)
 
 
-def keyed(docs: DataFrame, span: int, k: int, bench: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, span: int, k: int) -> DataFrame:
     """Each document's key, n_words and kept hashes, written to the shared folder: texts are cut into words once."""
-    keep = ["doc_id", "key", "n_words", *[f"`{_run(n)}`" for n in _short(bench, span)]]
     df = docs.select("doc_id", _key(F.col("text")).alias("key"), item_words(F.col("text")).alias("words"))
     df = df.select("doc_id", "key", "words", F.size("words").cast("long").alias("n_words"))
-    for n in _short(bench, span):
-        df = df.withColumn(_run(n), _grams(F.col("words"), F.size("words"), n))
-    return common.materialize(_kept(df, keep, "words", span, k), "winnowed")
+    return common.materialize(_kept(df, ["doc_id", "key", "n_words"], "words", span, k), "winnowed")
 
 
 def _key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _run(n: int) -> str:
-    return f"runs of {n}"
-
-
 def _short(bench: DataFrame, span: int) -> list[int]:
     """The lengths below ``span`` that items have: at most span - 1 numbers."""
     n = F.size(item_words(F.col("text")))
@@ -95,13 +88,22 @@ def _contaminated(prints: DataFrame, docs: DataFrame, bench: DataFrame, span: in
     items = bench.select(item_words(F.col("text")).alias("words"))
     # As a table: exploding the expression itself has Spark filter on its size first, which computes it anew for each k-gram.
     wanted = common.materialize(_kept(items, [], "words", span, k), "benchmark-kept").select(F.explode("kept").alias("hash"))
-    for n in short:
-        wanted = wanted.union(items.filter(F.size("words") == n).select(F.explode(_grams(F.col("words"), F.size("words"), n))))
-    wanted = common.materialize(wanted.distinct(), "benchmark-hashes")
-    wanted = common.maybe_broadcast(wanted)
-
-    every = F.concat("kept", *[F.col(f"`{_run(n)}`") for n in short])
-    hits = prints.select("key", F.explode(every).alias("hash")).join(wanted, "hash", "left_semi").select("key").distinct()
+    wanted = common.maybe_broadcast(common.materialize(wanted.distinct(), "benchmark-hashes"))
+    hits = prints.select("key", F.explode("kept").alias("hash")).join(wanted, "hash", "left_semi").select("key")
+    sought = [(k, span, wanted)]
+    if short:
+        # Runs as long as the short items are looked up as they are made; only the texts with a hit are stored.
+        runs = lambda n: _grams(F.col("words"), F.size("words"), n)
+        few = None
+        for n in short:
+            own = items.filter(F.size("words") == n).select(F.explode(runs(n)).alias("hash"))
+            few = own if few is None else few.union(own)
+        few = common.maybe_broadcast(common.materialize(few.distinct(), "short-hashes"))
+        words = docs.select(_key(F.col("text")).alias("key"), item_words(F.col("text")).alias("words"))
+        made = words.select("key", F.explode_outer(F.concat(*[runs(n) for n in short])).alias("hash"))
+        hits = hits.union(made.join(few, "hash", "left_semi").select("key"))
+        sought += [(n, n, few) for n in short]
+    hits = hits.distinct()
     hits = common.materialize(hits, "hits")
     texts = docs.select(_key(F.col("text")).alias("key"), "text").join(common.maybe_broadcast(hits), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.min("text").alias("text")).select("key", item_words(F.col("text")).alias("words"))
@@ -109,8 +111,8 @@ def _contaminated(prints: DataFrame, docs: DataFrame, bench: DataFrame, span: in
     # Where the shared hashes stand in the texts that have any, and from there the windows around them.
     sized = texts.select("key", "words", F.size("words").alias("n"))
     found = None
-    for run, length in [(k, span), *((n, n) for n in short)]:
-        own = sized.filter(F.col("n") >= length).select("key", "n", F.posexplode(_grams(F.col("words"), F.col("n"), run)).alias("at", "hash")).join(wanted, "hash", "left_semi")
+    for run, length, some in sought:
+        own = sized.filter(F.col("n") >= length).select("key", "n", F.posexplode(_grams(F.col("words"), F.col("n"), run)).alias("at", "hash")).join(some, "hash", "left_semi")
         around = F.sequence(F.greatest(F.col("at") - (length - run), F.lit(0)), F.least("at", F.col("n") - length))
         own = own.select("key", F.explode(around).alias("at"), F.lit(length).alias("length"))
         found = own if found is None else found.unionByName(own)
@@ -132,7 +134,7 @@ def _contaminated(prints: DataFrame, docs: DataFrame, bench: DataFrame, span: in
 
 def report(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Repeated rows and null ids each get a row; see ``decontaminate``."""
-    prints = keyed(docs, span, k, bench)
+    prints = keyed(docs, span, k)
     found = common.materialize(_contaminated(prints, docs, bench, span, k), "contaminated")
     out = prints.select("doc_id", "key", "n_words").join(common.maybe_broadcast(found), "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
