@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import bytewords, common
@@ -252,9 +252,10 @@ def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, Da
         clash = frozenset(same)
         overview = _overview(docs, clash)
         classes = _classes(overview)
-    window = Window.partitionBy("key")
-    rows = _key_rows(docs.filter(F.col("doc_id").isNotNull()), span, clash)
-    rows = rows.withColumns({"low": F.min("text_class").over(window), "high": F.max("text_class").over(window)}).filter("low < high")
+    rows = common.materialize(_key_rows(docs.filter(F.col("doc_id").isNotNull()), span, clash), "key-rows")
+    # Keys are summed up within tasks before the shuffle: no task gathers the rows of a key that very many texts have.
+    keys = rows.groupBy("key").agg(F.min("text_class").alias("low"), F.max("text_class").alias("high")).filter("low < high").select("key")
+    rows = rows.join(common.maybe_broadcast(common.materialize(keys, "shared-keys")), "key", "left_semi")
     shared = common.materialize(rows.groupBy("text_class").agg(F.collect_set("key").alias("shared")), "shared")
     firsts = common.materialize(classes.select("text_class", F.col("first").alias("doc_id")).join(shared, "text_class"), "firsts")
     # Equal ids with other texts are told apart by the class of the text.
