@@ -159,15 +159,25 @@ def _met(docs: DataFrame, needs: DataFrame, words: int, share: int, clash: froze
     A class that meets others in fewer keys than any link needs has none: it
     goes, and so do keys that are left to one class, in PEELS passes.
     """
-    window = Window.partitionBy("key")
-    several = lambda df: df.withColumns({"leader": F.min("class").over(window), "last": F.max("class").over(window)}).filter(F.col("leader") < F.col("last")).drop("leader", "last")
-    met = several(_key_rows(docs, words, share, clash)).distinct()
+    met = _several(common.materialize(_key_rows(docs, words, share, clash), "key-rows")).distinct()
     met = met.join(needs.select("class", "even", "odd"), "class").withColumn("odd_band", F.pmod("key", F.lit(2)) == 1)
     met = common.materialize(met.select("key", "class", "odd_band", F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")).alias("least")), "keys")
     for _ in range(PEELS):
         held = F.count(F.lit(1)).over(Window.partitionBy("class", "odd_band"))
-        met = common.materialize(several(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).drop("held")), "keys")
-    return met.withColumns({"leader": F.min("class").over(window), "size": F.count(F.lit(1)).over(window)}).drop("odd_band")
+        met = common.materialize(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).drop("held"), "keys")
+        met = common.materialize(_several(met), "keys")
+    facts = common.materialize(met.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("size")), "key-facts")
+    return met.drop("odd_band").join(common.maybe_broadcast(facts), "key")
+
+
+def _several(rows: DataFrame, of: str = "class") -> DataFrame:
+    """The rows of keys that hold several values of ``of``, from a stored table.
+
+    Keys are summed up within tasks first, and the few that stay are joined back; so
+    no task gathers the rows of a key that very many texts have.
+    """
+    keys = rows.groupBy("key").agg(F.min(of).alias("low"), F.max(of).alias("high")).filter("low < high").select("key")
+    return rows.join(common.maybe_broadcast(common.materialize(keys, "shared-keys")), "key", "left_semi")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, clash: frozenset[int]) -> DataFrame:
@@ -303,7 +313,6 @@ def _grouped(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFr
         classes = _classes(docs, words, share, clash)
         groups = _groups(classes)
     met = common.materialize(_met(docs, groups, words, share, clash), "keys")
-    window = Window.partitionBy("key")
     wanted = common.materialize(met.select("class").distinct(), "wanted")
     few = common.maybe_broadcast(wanted)
     first = common.materialize(groups.join(few, "class", "left_semi").select("id"), "firsts")
@@ -320,8 +329,8 @@ def _grouped(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFr
 
     # Keys whose classes are still in several components: those meet one another.
     left = mild.join(known, "class", "left").withColumn("component", F.coalesce("component", "class")).join(sets.select("class", "n"), "class")
-    left = left.withColumns({"c1": F.min("component").over(window), "c2": F.max("component").over(window)}).filter(F.col("c1") < F.col("c2"))
-    left = common.materialize(left.select("key", "class", "component", "n", "least"), "open")
+    left = common.materialize(left.select("key", "class", "component", "n", "least"), "mild")
+    left = common.materialize(_several(left, "component"), "open")
     one, two = left.toDF("key", "a", "c_a", "n_a", "least_a"), left.toDF("key", "b", "c_b", "n_b", "least_b")
     rest = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _near_size("n_a", "n_b", share))
     # Two classes of different components share only keys that are open or hot; the hot ones have compared them.
@@ -365,14 +374,14 @@ def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFra
     stays = common.materialize(stays.filter("rows > 1").drop("rows"), "stays")
     once = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))
     marks = found.join(common.maybe_broadcast(stays), ["component", "named"]).withColumn("once", once).filter(~F.col("once") | (F.col("n") > 1))
-    marks = common.materialize(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__text"), "once"), "marks")
+    marks = common.materialize(marks.select(F.col("doc_id").alias("id"), "digest", "once"), "marks")
     repeats = common.materialize(marks.filter("once").drop("once"), "repeats")
-    keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_text": F.xxhash64("text")})
-    on = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_text") == F.col("__text"))
-    kept = keyed.join(common.maybe_broadcast(marks.drop("once")), on, "left_anti")
+    # The row as one column, so that its columns may have any name.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_text"))
+    on = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_text") == F.col("digest"))
+    kept = keyed.join(common.maybe_broadcast(marks.drop("once")), on, "left_anti").select("row")
     if not repeats.isEmpty():
-        again = keyed.join(common.maybe_broadcast(repeats), on, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "__own_id", "__own_text")
+        again = keyed.join(common.maybe_broadcast(repeats), on, "left_semi")
         # Any one of equal rows; partial aggregation keeps a hot row's copies out of one task.
-        again = again.groupBy("__own_id", "__own_text").agg(F.first("row").alias("row")).select("row.*")
-        kept = kept.drop("__own_id", "__own_text").unionByName(again)
-    return kept.drop("__own_id", "__own_text")
+        kept = kept.unionByName(again.groupBy("own_id", "own_text").agg(F.first("row").alias("row")).select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

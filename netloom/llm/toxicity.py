@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm import bytewords, common
 
@@ -461,7 +462,7 @@ def _scored(docs: DataFrame, model: DataFrame) -> DataFrame:
     held = [bytes(r.model) for r in model.collect()]
     sent = spark.sparkContext.broadcast(held[0] if held else None)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
+    schema = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +482,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     ids don't matter. Whole texts are scored, however long.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    return _scored(docs.select(*[F.col(f"`{c}`") for c in kept]), model).select(*[F.col(f"row.`{c}`") for c in kept], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return _scored(docs.select(*[F.col(f"`{c}`") for c in kept]), model).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -492,4 +493,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model doesn't reject, with all their columns, whatever their names."""
-    return _scored(docs, fit(docs, labels)).filter(F.col("score") < 0.5).select("row.*")
+    return _scored(docs, fit(docs, labels)).filter(F.col("score") < 0.5).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
