@@ -271,3 +271,41 @@ def test_fingerprints_shuffle_texts_once_and_keep_odd_columns(spark, corpus):
     sketched = fingerprint.with_sketch(odd, "text", "s")
     assert sketched.columns == [*odd.columns, "s"]
     assert [r["__words"] for r in sketched.collect()] == ["__words"] * 5
+
+
+# --- 3, 5, 8: short items and hot keys ------------------------------------------
+
+
+def test_short_items_store_no_runs(spark, tmp_path):
+    """Items of one to nine words: what is kept of the documents stays below the texts' own size."""
+    import os
+
+    from netloom.llm import decontaminate
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = [(i, " ".join(word() for _ in range(300))) for i in range(200)]
+    items = [(n, " ".join(brute.WORD.findall(docs[7 * n][1])[5 : 5 + n])) for n in range(1, 10)] + [(20, docs[3][1])]
+    shared = common.shared_folder(spark)
+    held = lambda: {p for top, _, names in os.walk(f"{shared}/netloom") for p in (f"{top}/{n}" for n in names)}
+    before = held()
+    out = decontaminate.report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()}
+    assert got == brute.contamination(docs, items)
+    assert sum(os.path.getsize(p) for p in held() - before) < sum(len(t) for _, t in docs)
+
+
+def test_no_task_gathers_a_hot_key(spark):
+    """A passage in 3,000 different texts: no plan step orders or windows the rows of one key."""
+    from netloom.llm import ngram_join, substring
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [(i, f"{passage} own{i} tail{i}") for i in range(3000)]
+    docs = frame(spark, texts)
+    removed = {r.doc_id: r.n_removed for r in substring.report(docs).collect()}
+    assert removed[0] == 0 and {removed[i] for i in range(1, 3000)} == {60}
+    assert {r.component_id for r in ngram_join.join(docs).collect()} == {0}
+    rows = spark.createDataFrame([(7, i) for i in range(20_000)] + [(i, i) for i in range(100, 200)], "key long, class long").repartition(8)
+    stored = common.materialize(rows, "hot-keys")
+    some = ngram_join._several(stored)
+    assert some.count() == 20_000 and "Window" not in some._jdf.queryExecution().executedPlan().toString()

@@ -85,7 +85,7 @@ def test_stages_on_odd_rows(spark, odd):
     rows += [(60, "same row twice over again", "t"), (60, "same row twice over again", "t"), (61, "say alpha beta gamma delta twice", "s"), (62, "one two three four five", None)]
     rows += [(70, "long " + " ".join(f"w{k}" for k in range(30_000)), "s")]
     docs = frame(spark, rows)
-    for name in ("score", "class", "key", "words", "row", "copies", "number", "digest", "h"):
+    for name in ("score", "class", "key", "words", "row", "copies", "number", "digest", "h", "id", "own_id", "own_text", "__own_id", "__own_text", "__id", "__text", "__words", "a.b"):
         docs = docs.withColumn(name, F.lit(f"own {name}"))
     columns, sizes = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
