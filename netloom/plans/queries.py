@@ -19,6 +19,7 @@ from netloom.operators import balancing, encoding, evaluation, federated, filter
 from netloom.plans import dashboard, recognition, training
 from netloom.sources.sinks import shared_folder
 from netloom.sources.tables import infer_types, supervised, table
+from netloom.streaming import fleet as fleet_streams
 from netloom.streaming import rounds as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -698,13 +699,19 @@ def training_preparation(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("part", "type", "class_code").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{i}") for i, c in enumerate(fitted.features)])
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a file stream."""
+def _events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """(event_id, ts, device, type): the events table as a file stream."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     name = "events.parquet"
     source = spark.readStream.schema(T.StructType(schema.fields)).option("pathGlobFilter", name).parquet(d)
+    return streams.with_zone(source).select("event_id", "ts", F.col("user_id").alias("device"), F.col("event_type").alias("type"), "user_id", "event_type")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """Flows as a file stream."""
+    source = _events_stream(spark, d)
     device = (F.col("user_id") % DEVICES + 1).cast("int")
-    return streams.with_zone(source).select(
+    return source.select(
         "ts", F.col("user_id").alias("device"), C.router_id(device).alias("router_id"), (F.datediff("ts", F.lit("2024-01-01")) + 1).alias("round"), (F.col("event_type") == "error").cast("int").alias("label")
     )
 
@@ -728,3 +735,43 @@ def stream_liveness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FLOWS} SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, router_id, sum(label)::BIGINT AS anomalies, count(*) AS total FROM flows GROUP BY ALL")
 def stream_daily_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, streams.windowed_counts(_stream(spark, d)), "daily")
+
+
+#: How far the stream's clock stays behind the latest event.
+LATE_S = 3600
+
+
+@query(f"""WITH b AS (SELECT DISTINCT user_id AS device, epoch_us(ts) // 1000 AS t FROM events), w AS (SELECT max(t) - {LATE_S} * 1000 AS w FROM b),
+n AS (SELECT device, t, lag(t) OVER o AS before, coalesce(lead(t) OVER o, w + 1) AS after FROM b, w WHERE t <= w WINDOW o AS (PARTITION BY device ORDER BY t)),
+c AS (
+  SELECT device, 'online' AS status, t AS ms FROM n WHERE before IS NULL OR t - before > {ONLINE_S} * 1000 + 1
+  UNION ALL SELECT device, 'degraded', t + {ONLINE_S} * 1000 + 1 FROM n WHERE t + {ONLINE_S} * 1000 + 1 < after
+  UNION ALL SELECT device, 'offline', t + {OFFLINE_S} * 1000 + 1 FROM n WHERE t + {OFFLINE_S} * 1000 + 1 < after
+)
+SELECT device, status, count(*) AS n, sum(ms)::BIGINT AS sum_ms, max(ms)::BIGINT AS last_ms FROM c GROUP BY ALL""")
+def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Each device's changes of status, by timers on the watermark: how many, and their times."""
+    beats = _stream(spark, d).select("device", F.col("ts").alias("seen_at"))
+    changes = fleet_streams.transitions(beats, ONLINE_S, OFFLINE_S, f"{LATE_S} seconds")
+    unique = f"transitions_{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = streams.run_available(changes, unique, f"{shared_folder(spark)}/streams/{unique}", "append")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    ms = F.unix_millis("at")
+    return rows.groupBy("device", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(ms).alias("sum_ms"), F.max(ms).alias("last_ms"))
+
+
+@query("""WITH r AS (SELECT event_id, user_id AS device, ts AS t FROM events WHERE event_type = 'error'), b AS (SELECT user_id AS device, ts AS seen_at FROM events WHERE event_type <> 'error')
+SELECT event_id, count(*) AS beats, max(epoch_us(seen_at) // 1000)::BIGINT AS last_ms FROM r JOIN b ON r.device = b.device AND seen_at BETWEEN t - INTERVAL 2 HOUR AND t + INTERVAL 2 HOUR GROUP BY event_id""")
+def stream_reports_with_beats(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as reports, joined as streams with the device's other events of two hours around."""
+    events = _events_stream(spark, d)
+    reports = events.filter("type = 'error'").select("event_id", "device", F.col("ts").alias("at"))
+    beats = events.filter("type <> 'error'").select("device", F.col("ts").alias("seen_at"))
+    joined = fleet_streams.reports_with_heartbeats(reports, beats, "2 hours", "1 day")
+    unique = f"reports_{uuid.uuid4().hex}"
+    rows = streams.run_available(joined, unique, f"{shared_folder(spark)}/streams/{unique}", "append").filter(F.col("seen_at").isNotNull())
+    return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("beats"), F.max(F.unix_millis("seen_at")).alias("last_ms"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from netloom.functions import columns as C
 from netloom.operators import federated
@@ -119,6 +119,11 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "comple
     Of a complete result the last batch counts, otherwise all. A batch that is
     repeated after a failure replaces its own folder.
     """
+    return run_watched(df, name, checkpoint, mode)[0]
+
+
+def run_watched(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> tuple[DataFrame, StreamingQuery]:
+    """``run_available``'s rows, and the finished query with its progress."""
     written: list[str] = []
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -126,8 +131,8 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "comple
         batch.write.mode("overwrite").parquet(path)
         written.append(path)
 
-    df.writeStream.outputMode(mode).queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = df.writeStream.outputMode(mode).queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     read = df.sparkSession.read.schema(df.schema)
-    if not written:
-        return df.sparkSession.createDataFrame([], df.schema)
-    return read.parquet(*(written[-1:] if mode == "complete" else dict.fromkeys(written)))
+    rows = read.parquet(*(written[-1:] if mode == "complete" else dict.fromkeys(written))) if written else df.sparkSession.createDataFrame([], df.schema)
+    return rows, query
