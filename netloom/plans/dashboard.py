@@ -9,27 +9,33 @@ from netloom.functions import columns as C
 from netloom.operators import fleet
 
 
+# Fixed values of a client's answer: a device's place and model, and what stands for nothing.
+ROOM, MODEL, NONE = "Client site", "Federated-IDS", "-"
+
+
 def _ordered(df: DataFrame, order: list[str], row: Column, name: str) -> DataFrame:
     """One row: an array of ``row`` in the order of columns. Fleet tables have a row per device or round."""
     packed = F.array_sort(F.collect_list(F.struct(*order, row.alias("row"))))
     return df.agg(F.transform(packed, lambda x: x["row"]).alias(name))
 
 
-def client_payload(counts: DataFrame, metrics: DataFrame, heartbeats: DataFrame, profile: DataFrame, now: Column, degraded: float = 30, offline: float = 60) -> DataFrame:
+def client_payload(counts: DataFrame, metrics: DataFrame, heartbeats: DataFrame, profile: DataFrame, now: Column, degraded: float = 30, offline: float = 60, stamp: Column | None = None) -> DataFrame:
     """One row: summary, top_devices, chart, devices, alerts, service.
 
-    counts: the latest (router_id, n); without any, the devices come from heartbeats.
+    counts: the latest (router_id, n), reported at ``stamp`` (text, the metrics' own
+    time; none: "-"). Without any, the devices come from heartbeats, each with its own
+    time and no usage.
     """
+    stamp = F.coalesce(F.lit(None).cast("string") if stamp is None else stamp, F.lit(NONE))
     ranked = fleet.router_status(counts, heartbeats, now, degraded, offline)
-    spare = fleet.fleet_status_for_client(heartbeats, now, degraded, offline).select(C.router_id(F.col("device")).alias("router_id"), F.lit(0).cast("long").alias("n"), "status")
-    devices = fleet.with_fallback(ranked.select("router_id", F.col("n").cast("long").alias("n"), "status"), spare)
+    usage = F.concat(F.col("n").cast("string"), F.lit(" alerts"))
+    ranked = ranked.select("router_id", F.col("n").cast("long").alias("n"), "status", stamp.alias("last_seen"), usage.alias("usage"))
+    spare = fleet.fleet_status_for_client(heartbeats, now, degraded, offline)
+    spare = spare.select(F.concat(F.lit("router-"), F.col("device").cast("string")).alias("router_id"), F.lit(0).cast("long").alias("n"), "status", F.coalesce(C.utc_time(F.col("seen_at")), F.lit(NONE)).alias("last_seen"), F.lit(NONE).alias("usage"))
+    devices = fleet.with_fallback(ranked, spare)
     alerts = fleet.alerts_by_count(counts)
-    when = C.local_time(now)
-    device = F.struct(
-        F.col("router_id").alias("name"), F.lit("Network").alias("room"), "status", when.alias("last_seen"),
-        F.lit("n/a").alias("firmware"), F.concat(F.col("n").cast("string"), F.lit(" anomalies")).alias("usage_24h"), F.lit("router").alias("model"),
-    )
-    alert = F.struct("title", F.concat(F.col("n").cast("string"), F.lit(" anomalies in the latest round")).alias("message"), when.alias("time"), "severity")
+    device = F.struct(F.col("router_id").alias("name"), F.lit(ROOM).alias("room"), "status", "last_seen", F.lit(NONE).alias("firmware"), F.col("usage").alias("usage_24h"), F.lit(MODEL).alias("model"))
+    alert = F.struct(F.col("router_id").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" anomalies detected in the last round.")).alias("message"), stamp.alias("time"), "severity")
     tops = fleet.first_devices(devices, 4, "router_id")
     chart = fleet.chart(metrics)
     packed = chart.agg(F.array_sort(F.collect_list(F.struct("round", "label", "usage", "speed"))).alias("c"))

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from netloom.functions import columns as C
 from netloom.operators import balancing, encoding, evaluation, federated, filters, fleet, projection, ranking, scaling, selection, splitting
 from netloom.plans import dashboard, recognition, training
+from netloom.sources import sinks
 from netloom.sources.sinks import shared_folder
-from netloom.sources.tables import infer_types, supervised, table
+from netloom.sources.tables import device_shards, infer_types, read_inferred, supervised, table
 from netloom.streaming import fleet as fleet_streams
 from netloom.streaming import rounds as streams
 
@@ -233,18 +234,18 @@ def shown_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {FLOWS}, l AS (SELECT router_id, n FROM counts WHERE round = (SELECT max(round) FROM counts)),
 s AS (SELECT router_id, n, {CLIENT} AS status FROM l CROSS JOIN clock LEFT JOIN seen ON seen.device = regexp_replace(router_id, '[^0-9]', '', 'g')::INT),
-w AS (SELECT strftime((now AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Bucharest', '%Y-%m-%d %H:%M') || ' EET' AS moment FROM clock),
+w AS (SELECT strftime(max(ts), '%Y-%m-%d %H:%M') || ' UTC' AS moment FROM events),
 a AS (SELECT router_id, n, {SEVERITY} AS severity FROM l WHERE n > 0),
 c AS (SELECT * FROM (SELECT round, sum(n)::BIGINT AS usage FROM counts GROUP BY round ORDER BY round DESC LIMIT 6))
 SELECT to_json({{'summary': {{'total': (SELECT count(*) FROM s), 'online': (SELECT count(*) FROM s WHERE status = 'online'), 'degraded': (SELECT count(*) FROM s WHERE status = 'degraded'), 'alerts_24h': (SELECT count(*) FROM a)}},
   'top_devices': (SELECT list({{'name': router_id, 'usage': n || ' anomalies'}} ORDER BY router_id) FROM (SELECT * FROM s ORDER BY router_id LIMIT 4)),
   'chart': (SELECT {{'labels': list('R' || round ORDER BY round), 'usage': list(usage ORDER BY round), 'speed': list(greatest(10, 50 - least(usage, 40)) ORDER BY round)}} FROM c),
-  'devices': (SELECT list({{'name': router_id, 'room': 'Network', 'status': status, 'last_seen': (SELECT moment FROM w), 'firmware': 'n/a', 'usage_24h': n || ' anomalies', 'model': 'router'}} ORDER BY router_id) FROM s),
-  'alerts': (SELECT list({{'title': 'Anomalies on ' || router_id, 'message': n || ' anomalies in the latest round', 'time': (SELECT moment FROM w), 'severity': severity}} ORDER BY router_id) FROM a),
+  'devices': (SELECT list({{'name': router_id, 'room': 'Client site', 'status': status, 'last_seen': (SELECT moment FROM w), 'firmware': '-', 'usage_24h': n || ' alerts', 'model': 'Federated-IDS'}} ORDER BY router_id) FROM s),
+  'alerts': (SELECT list({{'title': router_id, 'message': n || ' anomalies detected in the last round.', 'time': (SELECT moment FROM w), 'severity': severity}} ORDER BY router_id) FROM a),
   'service': {{'plan': 'Fiber 500', 'next_bill': '2024-02-01', 'due_date': '2024-02-15', 'billing_cycle': 'monthly', 'router_model': 'AX-3000', 'uptime': 0.992::DOUBLE, 'speed_consistency': 0.97::DOUBLE}}}})::VARCHAR AS payload""")
 def dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
     service = spark.createDataFrame([("Fiber 500", "2024-02-01", "2024-02-15", "monthly", "AX-3000", 0.992, 0.97)], "plan string, next_bill string, due_date string, billing_cycle string, router_model string, uptime double, speed_consistency double")
-    payload = dashboard.client_payload(fleet.latest_round(counts(spark, d)).select("router_id", "n"), metrics(spark, d), heartbeats(spark, d), service, now_of(spark, d), ONLINE_S, OFFLINE_S)
+    payload = dashboard.client_payload(fleet.latest_round(counts(spark, d)).select("router_id", "n"), metrics(spark, d), heartbeats(spark, d), service, now_of(spark, d), ONLINE_S, OFFLINE_S, C.utc_time(now_of(spark, d)))
     return payload.select(F.to_json(F.struct("*")).alias("payload"))
 
 
@@ -552,10 +553,27 @@ def smote_balance(spark: SparkSession, d: str) -> DataFrame:
     return balancing.smote(v, names, "label", "vec_id").groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: The parameters of the small network as a table that SQL makes too: layer, position, and a number between -0.05 and 0.05.
+WEIGHTS = """w AS (
+  SELECT layer, pos, ((pos * 7919 + layer * 104729 + 13) % 2001 - 1000) / 20000::DOUBLE AS w
+  FROM (SELECT unnest(range(6)) AS layer, unnest([4096, 64, 2048, 32, 32, 1]) AS n), unnest(range(n)) AS t(pos)
+), p AS (SELECT max(l) FILTER (layer = 0) AS w1, max(l) FILTER (layer = 1) AS b1, max(l) FILTER (layer = 2) AS w2, max(l) FILTER (layer = 3) AS b2, max(l) FILTER (layer = 4) AS w3, max(l) FILTER (layer = 5) AS b3
+  FROM (SELECT layer, list(w ORDER BY pos) AS l FROM w GROUP BY layer)
+), h1 AS (SELECT vec_id, label, p.*, list_transform(range(64), lambda j: greatest(0, list_dot_product(embedding::DOUBLE[], w1[j * 64 + 1:j * 64 + 64]) + b1[j + 1])) AS h FROM embeddings, p),
+h2 AS (SELECT vec_id, label, w3, b3, list_transform(range(32), lambda j: greatest(0, list_dot_product(h, w2[j * 64 + 1:j * 64 + 64]) + b2[j + 1])) AS h FROM h1),
+s AS (SELECT vec_id, label, 1 / (1 + exp(-(list_dot_product(h, w3) + b3[1]))) AS probability FROM h2)"""
+
+
+def network_table(spark: SparkSession) -> DataFrame:
+    sizes = F.array(*[F.lit(n) for n in (4096, 64, 2048, 32, 32, 1)])
+    rows = spark.range(1).select(F.posexplode(sizes).alias("layer", "n")).select("layer", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    return rows.withColumn("w", ((F.col("pos") * 7919 + F.col("layer") * 104729 + 13) % 2001 - 1000) / F.lit(20000.0))
+
+
+@query(f"WITH {WEIGHTS} SELECT vec_id, round(probability, 9) AS probability FROM s")
 def mlp_score(spark: SparkSession, d: str) -> DataFrame:
     v, names = vectors(spark, d)
-    return federated.predict(v, federated.initial(v, names), names).select("vec_id", "probability")
+    return federated.predict(v, network_table(spark), names).select("vec_id", F.round("probability", 9).alias("probability"))
 
 
 @query()
@@ -584,10 +602,15 @@ def focal_loss(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.round(F.array_max("q"), 9).alias("largest"), C.argmax(F.col("q")).alias("predicted"), F.round(C.focal_loss(F.col("q"), F.col("label"), alpha), 8).alias("loss"))
 
 
-@query()
+@query(f"""WITH {WEIGHTS}, t AS (SELECT (label > 4)::INT AS y, (probability > 0.49)::INT AS said, probability AS q FROM s), c AS (
+  SELECT count(*) FILTER (y = 1 AND said = 1) AS tp, count(*) FILTER (y = 0 AND said = 0) AS tn, count(*) FILTER (y = 0 AND said = 1) AS fp, count(*) FILTER (y = 1 AND said = 0) AS fn,
+    avg(-CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END) AS loss FROM t)
+SELECT tp, tn, fp, fn, round((tp + tn) / greatest(tp + tn + fp + fn, 1), 9) AS accuracy, round(tp / (tp + fp + 1e-8), 9) AS precision, round(tp / (tp + fn + 1e-8), 9) AS recall,
+  round(fp / (fp + tn + 1e-8), 9) AS fpr, round(fn / (fn + tp + 1e-8), 9) AS fnr, round(loss, 9) AS loss FROM c""")
 def evaluate_weights(spark: SparkSession, d: str) -> DataFrame:
     v, names = vectors(spark, d)
-    return federated.evaluate(v.withColumn("label", (F.col("label") > 4).cast("int")), federated.initial(v, names), names)
+    found = federated.evaluate(v.withColumn("label", (F.col("label") > 4).cast("int")), network_table(spark), names, threshold=0.49)
+    return found.select(*found.columns[:4], *[F.round(c, 9).alias(c) for c in found.columns[4:]])
 
 
 #: Letters whose shares tell the languages of the tables' texts apart.
@@ -775,3 +798,92 @@ def stream_reports_with_beats(spark: SparkSession, d: str) -> DataFrame:
     unique = f"reports_{uuid.uuid4().hex}"
     rows = streams.run_available(joined, unique, f"{shared_folder(spark)}/streams/{unique}", "append").filter(F.col("seen_at").isNotNull())
     return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("beats"), F.max(F.unix_millis("seen_at")).alias("last_ms"))
+
+
+# --- round trips and column steps -------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/netloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT (user_id % 5 + 1)::INT AS device_id, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE user_id % 5 IN (0, 2) GROUP BY ALL")
+def shards_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Shards by device, written as one table and read back for two devices."""
+    path = _folder(spark, "shards")
+    sinks.write_shards(flows(spark, d).select("event_id", "value", F.col("device").alias("device_id")), path)
+    return device_shards(spark, path, [1, 3]).groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("""SELECT event_type AS type, count(*) AS n, count(*) FILTER (event_id % 4 <> 0) AS with_value, round(sum(CASE WHEN event_id % 4 <> 0 THEN value END), 6) AS total,
+  bool_and(true) AS numeric FROM events GROUP BY event_type""")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A delimited file with a header and marks for missing values, written, read as text and given its types."""
+    path = _folder(spark, "csv")
+    value = F.when(F.col("event_id") % 4 == 0, F.lit("NULL")).otherwise(F.col("value").cast("string"))
+    sinks.write_table(flows(spark, d).select(F.col("event_id").alias(" event_id "), "type", value.alias("value")), path, "csv")
+    rows = read_inferred(spark, path)
+    numeric = F.lit(dict(rows.dtypes)["value"] == "double" and dict(rows.dtypes)["event_id"] == "double")
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("with_value"), F.round(F.sum("value"), 6).alias("total"), F.bool_and(numeric).alias("numeric"))
+
+
+@query("SELECT user_id AS device, max(ts) AS seen_at FROM events GROUP BY user_id")
+def heartbeat_table(spark: SparkSession, d: str) -> DataFrame:
+    """Heartbeats appended in two parts; the latest of each device counts."""
+    path = _folder(spark, "beats")
+    beats = heartbeats(spark, d)
+    for part in (0, 1):
+        sinks.append_heartbeats(beats.filter(F.col("device") % 2 == part), path)
+    return fleet.last_seen(spark.read.parquet(path)).select("device", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
+
+
+@query("SELECT json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegment, 'c_nationkey', c_nationkey)::VARCHAR AS payload FROM customer")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.json_payload(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"))
+
+
+@query("""SELECT l_orderkey::INT AS l_orderkey, l_linenumber, l_returnflag AS label, round(l_quantity::FLOAT::DOUBLE + l_discount::FLOAT::DOUBLE, 6) AS total, 2 AS width, 1 AS steps, 2 AS tokens,
+  'l_orderkey,l_linenumber,l_quantity,l_discount' AS numbers FROM lineitem""")
+def column_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Time, topology and label columns go, the rest is restricted, cast down and packed for a model."""
+    raw = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.col("l_returnflag").alias("Label"), F.col("l_shipdate").alias("ts"), F.col("l_linestatus").alias("src_ip"))
+    df = projection.drop_topology(projection.drop_time(projection.rename_label(raw)))
+    inputs, target = projection.split_target(df, projection.label_column(df))
+    numbers = projection.numeric_only(projection.drop_label(df))
+    kept = projection.downcast(projection.restrict(df, [*inputs.columns, *target.columns]))
+    v = projection.vector(["l_quantity", "l_discount"])
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return kept.select(
+        "l_orderkey", "l_linenumber", "label", F.round(total, 6).alias("total"), F.size(v).alias("width"), F.size(projection.sequence_of(v)).alias("steps"), F.size(projection.tokens_of(v)).alias("tokens"),
+        F.lit(",".join(numbers.columns)).alias("numbers"),
+    )
+
+
+@query("""WITH n AS (SELECT l_returnflag || l_linestatus AS c, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_returnflag || l_linestatus AS type, count(*) AS n, round(any_value((SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * n.n)), 9) AS weight
+FROM lineitem JOIN n ON n.c = l_returnflag || l_linestatus GROUP BY 1""")
+def weighted_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = balancing.with_class_weight(lines(spark, d).select(F.concat("l_returnflag", "l_linestatus").alias("type")), "type")
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("class_weight"), 9).alias("weight"))
+
+
+@query(f"""WITH {FLOWS}, a AS (SELECT device, seen_at, epoch_us((SELECT now FROM clock)) / 1e6 - epoch_us(seen_at) / 1e6 AS age FROM seen)
+SELECT device, CASE WHEN device % 3 * 40 < 60 THEN 'online' WHEN age < {ONLINE_S} THEN 'online' WHEN age < {OFFLINE_S} THEN 'degraded' ELSE 'offline' END AS status,
+  printf('%.1f%%', 100 * (device % 8) / 8.0) AS share, 'round_' || lpad(device::VARCHAR, 3, '0') || '_metrics.json' AS file, device::INT AS number, (device % 7 + 2 * (device % 5))::BIGINT AS total FROM a""")
+def fleet_formats(spark: SparkSession, d: str) -> DataFrame:
+    """The start-up grace, percentages, round numbers in file names, and sums of maps."""
+    seen = fleet.last_seen(heartbeats(spark, d))
+    age = fleet.age_seconds(F.col("seen_at"), now_of(spark, d))
+    device = F.col("device")
+    file = F.concat(F.lit("round_"), F.lpad(device.cast("string"), 3, "0"), F.lit("_metrics.json"))
+    counts_map = F.create_map(F.lit("a"), device % 7, F.lit("b"), 2 * (device % 5))
+    return seen.select(
+        "device", C.status_with_grace(age, device % 3 * 40, online=ONLINE_S, degraded=OFFLINE_S).alias("status"), C.percent(device % 8 / 8.0).alias("share"), file.alias("file"), C.round_of_file(file).alias("number"), C.map_total(counts_map).alias("total"),
+    )
+
+
+@query(f"""WITH {FLOWS} SELECT router_id, sum(round % 5)::BIGINT AS cumulative FROM (SELECT DISTINCT router_id, round FROM flows) GROUP BY router_id""")
+def stream_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    """Every event reports its round again; a round counts once."""
+    reports = _stream(spark, d).select("router_id", "round", (F.col("round") % 5).cast("long").alias("n"), F.col("ts").alias("at"))
+    return _run(spark, streams.cumulative_once(reports), "cumulative")
