@@ -168,8 +168,8 @@ def _met(docs: DataFrame, needs: DataFrame, words: int, share: int, clash: froze
     met = common.materialize(met.select("key", "class", "odd_band", F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")).alias("least")), "keys")
     for _ in range(PEELS):
         held = F.count(F.lit(1)).over(Window.partitionBy("class", "odd_band"))
-        met = common.materialize(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).drop("held"), "keys")
-        met = common.materialize(_several(met), "keys")
+        # Stored once; the keys that still have several classes are picked out as it is read.
+        met = _several(common.materialize(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).drop("held"), "keys"))
     facts = common.materialize(met.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("size")), "key-facts")
     return met.drop("odd_band").join(common.maybe_broadcast(facts), "key")
 
