@@ -622,8 +622,9 @@ def letter_shares(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     text = F.lower(F.coalesce("text", F.lit("")))
     size = F.greatest(F.length(text), F.lit(1))
     names = [f"share_{ord(c)}" for c in LETTERS]
-    shares = [(F.lit(1000.0) * (F.length(text) - F.length(F.translate(text, c, ""))) / size).alias(n) for c, n in zip(LETTERS, names, strict=True)]
-    return table(spark, d, "documents").select("lang", *shares), names
+    shares = [(F.lit(1000.0) * (F.length(text) - F.length(F.replace(text, F.lit(c)))) / size).alias(n) for c, n in zip(LETTERS, names, strict=True)]
+    # Stored: the texts are read once.
+    return sinks.stored(table(spark, d, "documents").select("lang", *shares), "letter-shares"), names
 
 
 #: Small forms of the networks, trained for a few passes of at most so many steps.
