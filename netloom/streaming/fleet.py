@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ class LivenessProcessor(StatefulProcessor):
     them, whatever the order and the batches in which they came; so do the changes
     to degraded and offline. Timers wake a device up for its next change, also in a
     batch without any heartbeat of its own. All times are milliseconds.
+
+    A call of the state store costs far more than a heartbeat, so waiting heartbeats
+    are kept as arrays of times, one for each piece of a batch, and a device has one
+    timer for the first of them: a batch costs a few calls a device.
     """
 
     def __init__(self, online_s: float, offline_s: float):
@@ -28,33 +33,44 @@ class LivenessProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.latest = handle.getValueState("latest", "seen long, status string")
-        self.pending = handle.getMapState("pending", "at long", "n int")
+        self.pending = handle.getListState("pending", "times binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        first = None
         for frame in rows:
-            for at in frame["at"].unique().tolist():
-                if not self.pending.containsKey((at,)):
-                    self.pending.updateValue((at,), (1,))
-                    self.handle.registerTimer(at)
-        yield self._changes(key, [])
+            times = np.unique(frame["at"].to_numpy(np.int64))
+            if len(times):
+                self.pending.appendValue((times.tobytes(),))
+                first = int(times[0]) if first is None else min(first, int(times[0]))
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
         now = timerValues.getCurrentWatermarkInMs()
-        seen, status = self.latest.get() if self.latest.exists() else (None, None)
+        seen, status = self.latest.get() or (None, None)
+        held = [np.frombuffer(t[0], np.int64) for t in self.pending.get()]
+        times = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        due = int(np.searchsorted(times, now, "right"))
         out: list[tuple[str, int]] = []
-        for at in sorted(k[0] for k in self.pending.keys() if k[0] <= now):
+        for at in times[:due].tolist():
             seen, status = self._aged(seen, status, at, out)
             if status != ONLINE:
                 out.append((ONLINE, at))
             seen, status = at, ONLINE
-            self.pending.removeKey((at,))
+        if due == len(times):
+            self.pending.clear()
+        elif due:
+            self.pending.put([(times[due:].tobytes(),)])
+        if due < len(times):
+            self.handle.registerTimer(int(times[due]))
         if seen is not None:
             # A change at exactly ``now`` has happened.
             seen, status = self._aged(seen, status, now + 1, out)
             self.latest.update((seen, status))
             if status != OFFLINE:
                 self.handle.registerTimer(seen + (self.online if status == ONLINE else self.offline))
-        yield self._changes(key, out)
+        return iter([self._changes(key, out)] if out else [])
 
     def _aged(self, seen: int | None, status: str | None, at: int, out: list[tuple[str, int]]) -> tuple[int | None, str | None]:
         """The status just before ``at``; changes on the way are added to ``out``."""

@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,78 @@ def test_null_heartbeats_are_left_out(spark, tmp_path, column):
     write(spark, str(tmp_path / "in"), [(row["device"], row["seen_at"]), (2, at(0)), (2, at(300))])
     out = rounds.run_available(fleet.transitions(stream(spark, str(tmp_path / "in"))), f"nulls_{column}", str(tmp_path / "c"), "append")
     assert {r.device for r in out.collect()} == {2}
+
+
+class CountedState:
+    """One device's value, list or map state that counts the calls of the store."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.items, self.map = calls, None, [], {}
+
+    def __getattribute__(self, name):
+        own = object.__getattribute__(self, name)
+        if callable(own):
+            object.__getattribute__(self, "calls").append(name)
+        return own
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(self.items) if self.items else self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendValue(self, value):  # noqa: N802
+        self.items.append(value)
+
+    def put(self, values):
+        self.items[:] = values
+
+    def clear(self):
+        self.items.clear()
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.map
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.map.pop(key)
+
+    def keys(self):
+        return list(self.map)
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def state(self, *_):
+        return CountedState(self.calls)
+
+    getValueState = getListState = getMapState = state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("registerTimer")
+        self.timers.append(at)
+
+
+def test_calls_of_the_state_store_do_not_grow_with_the_heartbeats():
+    class Clock:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 400_000
+
+    handle, processor = CountedHandle(), fleet.LivenessProcessor(30, 600)
+    processor.init(handle)
+    times = [t * 1000 for t in range(500)]
+    frames = iter([pd.DataFrame({"at": times[:300]}), pd.DataFrame({"at": times[290:]})])
+    list(processor.handleInputRows((1,), frames, Clock()))
+    out = pd.concat(list(processor.handleExpiredTimer((1,), Clock(), None)))
+    assert [tuple(r) for r in out.itertuples(index=False)] == [(1, "online", 0)]
+    assert processor.latest.value == (400_000, "online")
+    # The next heartbeat and the next change each have a timer.
+    assert {401_000, 430_001} <= set(handle.timers)
+    assert len(handle.calls) < 20
