@@ -19,6 +19,8 @@ from netloom.operators.slopes import Var
 MOMENTUM, LEAST_VARIANCE = 0.99, 1e-3
 #: The layer that says the classes, and the one that takes its place when other classes are learned.
 HEAD, TRANSFER_HEAD = "head", "transfer_head"
+#: Rows that are scored at once: a pass keeps what every layer gives for all its rows.
+SCORED = 256
 
 
 class Scope:
@@ -239,7 +241,13 @@ class Network:
         return params
 
     def probabilities(self, params: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-        return slopes.softmax(self.logits(Scope(params), np.nan_to_num(x))).value
+        """A part of the rows at a time, so that memory doesn't grow with them."""
+        parts = [slopes.softmax(self.logits(Scope(params), np.nan_to_num(x[rows]))).value for rows in scored_parts(len(x))]
+        return np.concatenate(parts) if parts else np.zeros((0, self.classes))
+
+
+def scored_parts(n: int) -> list[slice]:
+    return [slice(i, i + SCORED) for i in range(0, n, SCORED)]
 
 
 def moving(name: str) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.operators import balancing
-from netloom.operators.classifiers import TRANSFER_HEAD, Adam, Loss, Network, Scope, Sums, apply, batch_sums, layer_of, moving, with_new_head
+from netloom.operators.classifiers import TRANSFER_HEAD, Adam, Loss, Network, Scope, Sums, apply, batch_sums, layer_of, moving, scored_parts, with_new_head
 from netloom.operators.federated import Watch
 from netloom.operators.ranking import with_position
 from netloom.sources.sinks import shared_folder
@@ -201,7 +201,7 @@ def mean_loss(df: DataFrame, network: Network, params: dict[str, np.ndarray], fe
 
 
 def _lost(network: Network, params: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, loss: Loss) -> float:
-    return float(loss(network.logits(Scope(params), x), y).value)
+    return sum(float(loss(network.logits(Scope(params), x[rows]), y[rows]).value) for rows in scored_parts(len(x)))
 
 
 # --- parameters as tables -------------------------------------------------------

@@ -198,3 +198,16 @@ def test_scoring_odd_rows(spark):
     assert learning.predict(df.limit(0), model, names).count() == 0
     empty = learning.deal(df.withColumn("label", F.lit(0)).limit(0), names, "label")
     assert learning.train(empty, network, model.params, K.Loss(), 3, 0.1).params is model.params
+
+
+@pytest.mark.parametrize("name", SMALL)
+def test_scoring_takes_a_bounded_number_of_rows_at_once(name, monkeypatch):
+    network, sizes = small(name), []
+    params, x = network.start(1), np.random.default_rng(3).normal(size=(1000, network.inputs))
+    whole = K.slopes.softmax(network.logits(K.Scope(params), x)).value
+    logits = K.Network.logits
+    monkeypatch.setattr(K.Network, "logits", lambda self, s, part: sizes.append(len(part)) or logits(self, s, part))
+    assert network.probabilities(params, x) == pytest.approx(whole)
+    y = np.arange(1000) % 3
+    assert learning._lost(network, params, x, y, K.Loss()) == pytest.approx(-np.log(whole[np.arange(1000), y]).sum())
+    assert max(sizes) <= 256 and sum(sizes) == 2000
