@@ -103,7 +103,9 @@ def tokens_of(values: Column) -> Column:
 
 def clean_features(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], logged: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Clean categoricals; numbers coerced, made finite and, where listed, logged. ``keep`` passes through. One projection."""
-    number = lambda c: C.finite_or_zero(C.to_number(F.col(f"`{c}`")))
+    # Doubles and whole numbers are what their text would be read as.
+    plain = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.IntegralType))}
+    number = lambda c: C.finite_or_zero(F.col(f"`{c}`").cast("double") if c in plain else C.to_number(F.col(f"`{c}`")))
     made = [C.clean_categorical(F.col(f"`{c}`")).alias(c) for c in categorical]
     made += [(C.log1p_clipped(number(c)) if c in logged else number(c)).alias(c) for c in numeric]
     return df.select(*[f"`{c}`" for c in keep], *made)

@@ -58,7 +58,8 @@ def prepare(
     clean = projection.clean_features(train, cats, nums, logged)
     fit_codes = encoding.fit_codes if unknown is None else encoding.fit_codes_with_unknown
     fitted = Fitted(cats, nums, [c for c in logged if c in nums], {c: stored(fit_codes(clean, c), "codes") for c in cats}, None, None, [], stored(encoding.fit_classes(train, target), "classes"), unknown)
-    coded = _coded(train, fitted, [target])
+    # Stored: texts are read as numbers once, not for each fit.
+    coded = stored(_coded(train, fitted, [target]), "coded")
     fitted.ranges = stored(scaling.fit_min_max(coded, nums), "ranges") if nums else None
     scaled = scaling.apply_min_max(coded, nums, fitted.ranges) if nums else coded
     every = [*cats, *nums]

@@ -382,3 +382,28 @@ def test_small_sample_is_the_head_of_the_hash_order(spark):
     whole = [r.k for r in df.orderBy(ranking.hash_key(["k"], 42)).collect()]
     for n in (1, 70, 5000, 6000):
         assert sorted(r.k for r in splitting.sample_n(df, n, ["k"]).collect()) == sorted(whole[:n])
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_splits_rank_only_rows_near_their_limits(spark, monkeypatch, equal):
+    """The parts are those of ranks over all rows, and few rows are sorted for them."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").alias("type"), (F.lit(1) if equal else F.col("id") * 3).alias("x"))
+    columns = ["x", "id"] if equal else ["x"]
+    ranks = {(r.type, r.id): r["rank"] for r in ranking.with_hash_rank(rows, columns, ["type"]).collect()}
+    # No rank over the whole table.
+    monkeypatch.setattr(splitting, "with_hash_rank", None)
+    got = splitting.train_val_test(rows, "type", columns)
+    found = got.collect()
+    assert len(found) == 30_000
+    for name, n in (("a", 21_000), ("b", 6_000), (None, 3_000)):
+        parts = [r.part for r in sorted((r for r in found if r.type == name), key=lambda r: ranks[name, r.id])]
+        assert parts == ["test"] * (n // 5) + ["val"] * (n // 5) + ["train"] * (n * 3 // 5)
+
+
+def test_numbers_are_not_read_from_text_again(spark):
+    values = [0.1, -0.0, 1e-300, 1.5e300, 123456789.123, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v, i, str(v), float(i) / 3) for i, v in enumerate(values)], "d double, n long, t string, f float")
+    clean = projection.clean_features(df, [], ["d", "n", "t", "f"])
+    as_text = projection.clean_features(df.select(*[F.col(c).cast("string") for c in df.columns]), [], ["d", "n", "t", "f"])
+    assert [tuple(r) for r in clean.collect()] == [tuple(r) for r in as_text.collect()]
+    assert "RLIKE" not in clean.select("d", "n")._jdf.queryExecution().optimizedPlan().toString()
