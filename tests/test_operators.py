@@ -407,3 +407,25 @@ def test_numbers_are_not_read_from_text_again(spark):
     as_text = projection.clean_features(df.select(*[F.col(c).cast("string") for c in df.columns]), [], ["d", "n", "t", "f"])
     assert [tuple(r) for r in clean.collect()] == [tuple(r) for r in as_text.collect()]
     assert "RLIKE" not in clean.select("d", "n")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_continuous_information_exchanges_little_between_ranges(spark, monkeypatch):
+    """A range is one row; only windows at its ends ask other ranges, and the counts are those over all points."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 500)
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"type": rng.choice(["a", "b", "rare"], 4000, p=[0.6, 0.399, 0.001]), "x": rng.standard_normal(4000)})
+    points, sizes = selection._points(spark.createDataFrame(frame), ["x"], "type", 3, 42)
+    bounds = selection._bounds(points)
+    packed = selection._packed(points, bounds, 3)
+    counted = selection._counted(packed, bounds, 3)
+    assert packed.count() == 8 and packed.agg(F.sum("n")).first()[0] == 4000
+    assert 0 < counted.filter("to IS NOT NULL").count() < 200
+    found = selection._others(packed, counted).first()
+    own = points.toPandas()
+    line, around = np.sort(own.x), np.zeros(4000)
+    for code in own.code.unique():
+        at = np.flatnonzero(own.code == code)
+        gaps = np.sort(np.abs(own.x.to_numpy()[at][:, None] - own.x.to_numpy()[at][None]), axis=1)
+        reach = gaps[:, min(3, len(at) - 1)] * (1 - 1e-9)
+        around[at] = np.searchsorted(line, own.x.to_numpy()[at] + reach, "right") - np.searchsorted(line, own.x.to_numpy()[at] - reach, "left")
+    assert found.n == 4000 and found.others == pytest.approx(selection._digamma(around).sum(), rel=1e-9)
