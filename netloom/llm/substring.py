@@ -19,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import bytewords, common
 
 SPAN = 50
 ROUNDS = 12
+#: Rows of a task that are compared with one another before the shuffle, so that few rows of a crowded key or window cross it.
+STRETCH = 500_000
 
 _RUN, _LENGTH, _LEFT, _RIGHT, _OTHER = (np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(8).integers(1, 2**62, 5))
 
@@ -170,10 +172,16 @@ def _classes(overview: DataFrame) -> DataFrame:
 
 
 def _key_rows(docs: DataFrame, span: int, clash: frozenset[int]) -> DataFrame:
-    """(key, text_class): the keys of each class's windows, once for each task that meets it, so copies add little."""
+    """(key, text_class, known): the keys of each class's windows, once for each task that meets it, so copies add little.
+
+    known: null for rows that must be compared with those of other tasks. A key
+    that several classes of one stretch of rows have is shared: two of them are left
+    to compare, the others are known to share it (and have their class there).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, block in bytewords.blocks(batch.column(0), lower=False):
                 document, _, key = file_windows(block, span)
@@ -186,20 +194,56 @@ def _key_rows(docs: DataFrame, span: int, clash: frozenset[int]) -> DataFrame:
                     fresh[i] = int(names[i]) not in met
                     met.add(int(names[i]))
                 new &= fresh[document]
-                document, key = document[new], key[new]
-                if not len(key):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(names[document])], ["key", "text_class"])
-
-    return docs.select("text").mapInArrow(run, "key long, text_class long")
+                held.append((key[new].astype(np.int64), names[document[new]]))
+                if sum(len(k) for k, _ in held) > STRETCH:
+                    yield _compared(held)
+                    held = []
+        if held:
+            yield _compared(held)
+
+    return docs.select("text").mapInArrow(run, "key long, text_class long, known long")
+
+
+def _compared(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The distinct (key, class) of a stretch; ``known`` is the class where two other classes of the stretch stand for it."""
+    key, name = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name = key[once], name[once]
+    inner = np.zeros(len(key), bool)
+    inner[1:-1] = (key[1:-1] == key[:-2]) & (key[1:-1] == key[2:])
+    # Rows of a class stand together, which the shuffle's compression makes use of.
+    back = np.argsort(name, kind="stable")
+    key, name, inner = key[back], name[back], inner[back]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(name, mask=~inner)], ["key", "text_class", "known"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(text_class, shared): the keys of each class that another class has too.
+
+    In the order of classes, each class of a shared key has another one beside it:
+    one shuffle finds them, without a table of shared keys to join back.
+    """
+    beside = Window.partitionBy("key", "known").orderBy("text_class")
+    other = lambda c: F.coalesce(c.over(beside) != F.col("text_class"), F.lit(False))
+    rows = rows.withColumns({"before": other(F.lag("text_class")), "after": other(F.lead("text_class"))})
+    rows = rows.filter(F.col("known").isNotNull() | F.col("before") | F.col("after"))
+    return rows.groupBy("text_class").agg(F.collect_set("key").alias("shared"))
 
 
 def _candidate_windows(texts: DataFrame, span: int) -> DataFrame:
-    """(a, b, doc_id, text_class, at): hashes and places of the windows filed under shared keys."""
+    """(a, b, doc_id, text_class, at): hashes and places of the windows filed under shared keys.
+
+    A window that an earlier document of the same stretch of rows holds is known to
+    be a repeat: b is null, and a is its class, as its hashes aren't needed any more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            ids, classes, shared = batch.column(0), batch.column(1), batch.column(3)
+            ids, classes, shared = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for at, block in bytewords.blocks(batch.column(2), lower=False):
                 document, window, key = file_windows(block, span)
                 signed, keep = key.astype(np.int64), np.zeros(len(key), bool)
@@ -208,13 +252,35 @@ def _candidate_windows(texts: DataFrame, span: int) -> DataFrame:
                     own = slice(cuts[i], cuts[i + 1])
                     keep[own] = np.isin(signed[own], shared[at + i].values.to_numpy())
                 document, window = document[keep], window[keep]
-                a, b = _window_hashes(block, window, span)
-                take = pa.array(document + at)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids.take(take), classes.take(take), pa.array((window - block.first[document]).astype(np.int32))], ["a", "b", "doc_id", "text_class", "at"])
+                held.append((*_window_hashes(block, window, span), ids[document + at], classes[document + at], (window - block.first[document]).astype(np.int32)))
+                if sum(len(x[0]) for x in held) > STRETCH:
+                    yield _marked(held)
+                    held = []
+        if held:
+            yield _marked(held)
 
     return texts.select("doc_id", "text_class", "text", "shared").mapInArrow(run, "a long, b long, doc_id long, text_class long, at int")
 
 
+def _marked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """The windows of a stretch, those of which an earlier document is in it without their hashes."""
+    a, b, doc, name, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((doc, b, a))
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    earliest = np.zeros_like(doc)
+    earliest[order] = doc[order][fresh][np.cumsum(fresh) - 1]
+    known = doc > earliest
+    return pa.RecordBatch.from_arrays([pa.array(np.where(known, name, a)), pa.array(b, mask=known), pa.array(doc), pa.array(name), pa.array(at)], ["a", "b", "doc_id", "text_class", "at"])
+
+
+def _starts(found: DataFrame) -> DataFrame:
+    """(doc_id, text_class, starts): where windows begin that a document with a smaller id holds."""
+    first = F.min("doc_id").over(Window.partitionBy("a", "b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("first", first).filter(F.col("b").isNull() | (F.col("doc_id") > F.col("first")))
+    return rows.groupBy("doc_id", "text_class").agg(F.collect_list("at").alias("starts"))
+
+
 def _cut(texts: DataFrame, span: int) -> DataFrame:
     """(doc_id, text_class, n_removed, kept): what is left of each text without the words of the windows that begin at ``starts``."""
 
@@ -252,22 +318,13 @@ def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, Da
         clash = frozenset(same)
         overview = _overview(docs, clash)
         classes = _classes(overview)
-    rows = common.materialize(_key_rows(docs.filter(F.col("doc_id").isNotNull()), span, clash), "key-rows")
-    # Keys are summed up within tasks before the shuffle: no task gathers the rows of a key that very many texts have.
-    keys = rows.groupBy("key").agg(F.min("text_class").alias("low"), F.max("text_class").alias("high")).filter("low < high").select("key")
-    rows = rows.join(common.maybe_broadcast(common.materialize(keys, "shared-keys")), "key", "left_semi")
-    shared = common.materialize(rows.groupBy("text_class").agg(F.collect_set("key").alias("shared")), "shared")
+    shared = common.materialize(_shared(_key_rows(docs.filter(F.col("doc_id").isNotNull()), span, clash)), "shared")
     firsts = common.materialize(classes.select("text_class", F.col("first").alias("doc_id")).join(shared, "text_class"), "firsts")
     # Equal ids with other texts are told apart by the class of the text.
     wanted = common.materialize(firsts.select("doc_id").distinct(), "wanted")
     ids = docs.join(common.maybe_broadcast(wanted), "doc_id", "left_semi")
     texts = common.materialize(_with_class(ids, clash).join(firsts, ["doc_id", "text_class"]).dropDuplicates(["doc_id", "text_class"]), "texts")
-    found = common.materialize(_candidate_windows(texts, span), "windows")
-    # One row per shared window, summed up before the shuffle. As a table of its own it lets Spark split the
-    # join on a passage that very many documents hold.
-    earliest = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    earliest = common.materialize(earliest, "earliest")
-    starts = found.join(common.maybe_broadcast(earliest), ["a", "b"]).filter(F.col("doc_id") > F.col("first")).groupBy("doc_id", "text_class").agg(F.collect_list("at").alias("starts"))
+    starts = _starts(_candidate_windows(texts, span))
     changed = _cut(texts.join(starts, ["doc_id", "text_class"]), span)
     return overview, classes, common.materialize(changed, "changed")
 

@@ -309,3 +309,32 @@ def test_no_task_gathers_a_hot_key(spark):
     stored = common.materialize(rows, "hot-keys")
     some = ngram_join._several(stored)
     assert some.count() == 20_000 and "Window" not in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_substring_keys_and_windows_cross_one_shuffle(spark, corpus, monkeypatch):
+    """No table holds a row for each key or window, and no join sends them a second time."""
+    from netloom.llm import substring
+
+    stored, store = {}, common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: stored.setdefault(name, store(df, name)))
+    docs = frame(spark, corpus)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(docs).collect()}
+    assert got == brute.without_repeats(corpus, 50)
+    assert {name: n for name, df in stored.items() if (n := df.count()) > len(corpus)} == {}
+    found = substring._shared(substring._key_rows(docs, 50, frozenset()))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("stretch", [0, 20, 500_000])
+def test_crowded_substring_keys_are_compared_before_the_shuffle(spark, corpus, monkeypatch, stretch):
+    from netloom.llm import substring
+
+    monkeypatch.setattr(substring, "STRETCH", stretch)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(frame(spark, corpus)).collect()}
+    assert got == brute.without_repeats(corpus, 50)
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = frame(spark, [(i, f"{passage} own{i}") for i in range(200)]).coalesce(1)
+    rows = substring._key_rows(docs, 50, frozenset()).filter("known IS NULL").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert rows == (2 if stretch == 500_000 else rows)
+    removed = {r.doc_id: r.n_removed for r in substring.report(docs).collect()}
+    assert removed == {i: 50 if i else 0 for i in range(200)}
