@@ -160,18 +160,21 @@ def _met(docs: DataFrame, needs: DataFrame, words: int, share: int, clash: froze
     goes, and so do keys that are left to one class, in PEELS passes.
     """
     # Most keys are of one class. A window tells them apart in one shuffle of 16 bytes for each key of a class; summing
-    # them up first, and joining the shared ones back, was measured to take four times the disk.
-    window = Window.partitionBy("key")
-    rows = _key_rows(docs, words, share, clash).withColumns({"low": F.min("class").over(window), "high": F.max("class").over(window)})
-    met = rows.filter("low < high").select("key", "class").distinct()
+    # them up first, and joining the shared ones back, was measured to take four times the disk. Each pass is two more
+    # windows over what is left: no table between them, and no join whose tables cross the shuffle once they are large.
+    met = _crowded(_key_rows(docs, words, share, clash)).select("key", "class").distinct()
     met = met.join(needs.select("class", "even", "odd"), "class").withColumn("odd_band", F.pmod("key", F.lit(2)) == 1)
-    met = common.materialize(met.select("key", "class", "odd_band", F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")).alias("least")), "keys")
+    met = met.select("key", "class", "odd_band", F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")).alias("least"))
     for _ in range(PEELS):
         held = F.count(F.lit(1)).over(Window.partitionBy("class", "odd_band"))
-        # Stored once; the keys that still have several classes are picked out as it is read.
-        met = _several(common.materialize(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).drop("held"), "keys"))
-    facts = common.materialize(met.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("size")), "key-facts")
-    return met.drop("odd_band").join(common.maybe_broadcast(facts), "key")
+        met = _crowded(met.withColumn("held", held).filter(F.col("held") >= F.col("least")).select("key", "class", "odd_band", "least"))
+    return met.select("key", "class", "least", F.col("low").alias("leader"), "size")
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The rows of keys that hold several classes, with low, high (the smallest and largest class) and size (rows of the key)."""
+    window = Window.partitionBy("key")
+    return rows.withColumns({"low": F.min("class").over(window), "high": F.max("class").over(window), "size": F.count(F.lit(1)).over(window)}).filter("low < high")
 
 
 def _several(rows: DataFrame, of: str = "class") -> DataFrame:

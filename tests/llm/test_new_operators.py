@@ -338,3 +338,34 @@ def test_crowded_substring_keys_are_compared_before_the_shuffle(spark, corpus, m
     assert rows == (2 if stretch == 500_000 else rows)
     removed = {r.doc_id: r.n_removed for r in substring.report(docs).collect()}
     assert removed == {i: 50 if i else 0 for i in range(200)}
+
+
+def test_join_keys_are_peeled_without_tables(spark, corpus, monkeypatch):
+    """The passes over the keys store nothing and send nothing twice, and keep the keys that brute force keeps."""
+    from netloom.llm import ngram_join
+
+    docs, none = frame(spark, corpus), frozenset()
+    groups = ngram_join._groups(ngram_join._classes(docs, 4, 85))
+    need = {r["class"]: (r.even, r.odd) for r in groups.collect()}
+    rows = {(r.key, r["class"]) for r in ngram_join._key_rows(docs, 4, 85, none).collect()}
+
+    def several(rows):
+        owners = {}
+        for key, name in rows:
+            owners.setdefault(key, set()).add(name)
+        return {(k, c) for k, c in rows if len(owners[k]) > 1}
+
+    rows = several(rows)
+    for _ in range(ngram_join.PEELS):
+        held = {}
+        for key, name in rows:
+            held[name, key % 2] = held.get((name, key % 2), 0) + 1
+        rows = several({(k, c) for k, c in rows if held[c, k % 2] >= need[c][k % 2]})
+
+    def stored(df, name):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(common, "materialize", stored)
+    got = ngram_join._met(docs, groups, 4, 85, none).collect()
+    assert rows and len(got) == len(rows) and {(r.key, r["class"]) for r in got} == rows
+    assert all(r.leader == min(c for k, c in rows if k == r.key) and r.size == sum(k == r.key for k, _ in rows) and r.least == need[r["class"]][r.key % 2] for r in got)
