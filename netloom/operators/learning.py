@@ -69,7 +69,10 @@ def deal(df: DataFrame, features: Sequence[str], label: str, micro: int = MICRO,
     dealt = dealt.select("micro", F.col("rows.x").alias("x"), F.col("rows.y").alias("y"), (F.col("micro") % steps).cast("int").alias("step"))
     path = f"{shared_folder(df.sparkSession)}/netloom/micro-batches-{uuid.uuid4().hex}"
     if n:
-        dealt.repartition("step").write.partitionBy("step").parquet(path)
+        # A step's micro-batches lie in a file for each of its tasks, so that no pass has to deal them again.
+        each, cores = -(-micros // steps), df.sparkSession.sparkContext.defaultParallelism
+        task = (F.col("micro") / steps).cast("long") % min(each, cores)
+        dealt.repartition(min(steps * min(each, cores), 4 * cores), "step", task).write.partitionBy("step").parquet(path)
     return Dealt(df.sparkSession, path, n, steps if n else 0, micros)
 
 
@@ -106,7 +109,8 @@ def _step_sums(micros: DataFrame, network: Network, params: dict[str, np.ndarray
 
         yield from _added(each())
 
-    sums = micros.repartition(tasks, "micro").mapInArrow(run, _SUMS)
+    # Read as they were dealt: no shuffle.
+    sums = micros.coalesce(tasks).mapInArrow(run, _SUMS)
     while tasks > FAN:
         tasks = -(-tasks // FAN)
         sums = sums.repartition(tasks).mapInArrow(_added, _SUMS)

@@ -211,3 +211,32 @@ def test_scoring_takes_a_bounded_number_of_rows_at_once(name, monkeypatch):
     y = np.arange(1000) % 3
     assert learning._lost(network, params, x, y, K.Loss()) == pytest.approx(-np.log(whole[np.arange(1000), y]).sum())
     assert max(sizes) <= 256 and sum(sizes) == 2000
+
+
+def test_steps_are_read_without_a_shuffle(spark, monkeypatch):
+    """Micro-batches lie in files by task; a step over them is one stage."""
+    network, plans = small("resnet_mlp"), []
+    df, names = blobs(spark, 100, inputs=7)
+    dealt = learning.deal(df, names, "label", micro=8, batch=200)
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().toString()) or collect(self))
+    learning.train(dealt, network, network.start(), K.Loss(), 1, 0.01)
+    monkeypatch.undo()
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Exchange" not in plans[0]
+    files = {r.file for r in dealt.step(0).select(F.input_file_name().alias("file")).collect()}
+    assert len(files) > 1 and dealt.step(0).select("micro").distinct().count() == dealt.step(0).count() == dealt.micros
+
+
+def test_letter_shares_in_one_pass(spark, tmp_path):
+    """As by replacing each letter, for letters of one and two bytes, other alphabets, nulls and long texts."""
+    from netloom.functions.letters import LETTERS
+    from netloom.plans import queries
+
+    texts = [None, "", "É", "ÃéÃ", "Ünder Straße ŉ ÿ Ā", "日本é語𝄞a", "\x00zé\x7f", "aé" * 700_000, "Ñ" + "é" * 1_048_577, "İI"]
+    spark.createDataFrame([(str(i % 3), t) for i, t in enumerate(texts)], "lang string, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got, names = queries.letter_shares(spark, str(tmp_path))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    size = F.greatest(F.length(low), F.lit(1))
+    shares = [(F.lit(1000.0) * (F.length(low) - F.length(F.replace(low, F.lit(c)))) / size).alias(n) for c, n in zip(LETTERS, names, strict=True)]
+    expected = spark.read.parquet(f"{tmp_path}/documents.parquet").select("lang", *shares)
+    assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
