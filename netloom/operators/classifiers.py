@@ -26,12 +26,13 @@ SCORED = 256
 class Scope:
     """The parameters of a network by name ("layer/part"), and what one pass over a batch needs and leaves.
 
-    train: batch statistics and dropout (by ``rng``). frozen: layers whose
+    train: batch statistics and dropout (by ``rngs``, one for each micro-batch; micro-batches
+    have as many rows each and lie one below the other). frozen: layers whose
     parameters stay; their normalisations use the moving statistics, as in scoring.
     """
 
-    def __init__(self, params: dict[str, np.ndarray], seed: int = 0, train: bool = False, rng: np.random.Generator | None = None, frozen: Callable[[str], bool] = lambda layer: False):
-        self.params, self.seed, self.train, self.rng, self.frozen = params, seed, train, rng, frozen
+    def __init__(self, params: dict[str, np.ndarray], seed: int = 0, train: bool = False, rngs: Sequence[np.random.Generator] = (), frozen: Callable[[str], bool] = lambda layer: False):
+        self.params, self.seed, self.train, self.rngs, self.frozen = params, seed, train, rngs, frozen
         self.used: dict[str, Var] = {}
         self.batch: dict[str, np.ndarray] = {}
 
@@ -104,17 +105,19 @@ def separable(s: Scope, layer: str, x: Var, filters: int, width: int, stride: in
 
 
 def normalise(s: Scope, layer: str, x: Var) -> Var:
-    """Batch normalisation over all axes but the last; in training the batch's statistics are left for the moving ones."""
-    n, axes = x.shape[-1], tuple(range(x.value.ndim - 1))
+    """Batch normalisation over all axes but the last; in training each micro-batch by itself, whose statistics are left for the moving ones."""
+    n, shape = x.shape[-1], x.shape
     moving = s.value(f"{layer}/mean", (n,), zeros), s.value(f"{layer}/variance", (n,), ones)
     if s.trains(layer):
+        x = slopes.reshape(x, (len(s.rngs), -1, *shape[1:]))
+        axes = tuple(range(1, x.value.ndim - 1))
         middle = slopes.mean(x, axes)
         off = x - middle
         spread = slopes.mean(off * off, axes)
-        s.batch[f"{layer}/mean"], s.batch[f"{layer}/variance"] = middle.value.ravel(), spread.value.ravel()
+        s.batch[f"{layer}/mean"], s.batch[f"{layer}/variance"] = (v.value.reshape(-1, n).sum(0) for v in (middle, spread))
     else:
         off, spread = x - moving[0], slopes.of(moving[1])
-    y = off * slopes.power(spread + LEAST_VARIANCE, -0.5)
+    y = slopes.reshape(off * slopes.power(spread + LEAST_VARIANCE, -0.5), shape)
     return y * s.param(f"{layer}/gamma", (n,), ones) + s.param(f"{layer}/beta", (n,), zeros)
 
 
@@ -128,7 +131,8 @@ def normalise_rows(s: Scope, layer: str, x: Var) -> Var:
 def dropout(s: Scope, x: Var, rate: float) -> Var:
     if not s.train or not rate:
         return x
-    return x * ((s.rng.random(x.shape) >= rate) / (1 - rate))
+    drawn = np.concatenate([rng.random((x.shape[0] // len(s.rngs), *x.shape[1:])) for rng in s.rngs])
+    return x * ((drawn >= rate) / (1 - rate))
 
 
 def squeeze_excite(s: Scope, layer: str, x: Var, reduction: int = 16) -> Var:
@@ -137,29 +141,17 @@ def squeeze_excite(s: Scope, layer: str, x: Var, reduction: int = 16) -> Var:
     return x * slopes.sigmoid(dense(s, f"{layer}/up", gate, x.shape[-1], he_normal, bias=False))
 
 
-def lstm(s: Scope, layer: str, x: Var, units: int, backwards: bool = False) -> list[Var]:
+def lstm(s: Scope, layer: str, x: Var, units: int, backwards: bool = False) -> Var:
     """The state after each step, in the order of the steps; gates in the order input, forget, candidate, output."""
-    steps = range(x.shape[1])
     unit_forget = lambda rng, shape: np.repeat([0.0, 1.0, 0.0, 0.0], units)  # noqa: E731, ARG005
     drive = dense(s, layer, x, 4 * units, bias=False) + s.param(f"{layer}/bias", (4 * units,), unit_forget)
-    again = s.param(f"{layer}/recurrent", (units, 4 * units), orthogonal)
-    h = c = slopes.of(np.zeros((x.shape[0], units)))
-    out: dict[int, Var] = {}
-    for t in reversed(steps) if backwards else steps:
-        z = drive[:, t] + h @ again
-        i, f, g, o = (z[:, k * units : (k + 1) * units] for k in range(4))
-        c = slopes.sigmoid(f) * c + slopes.sigmoid(i) * slopes.tanh(g)
-        h = out[t] = slopes.sigmoid(o) * slopes.tanh(c)
-    return [out[t] for t in steps]
+    return slopes.recurrent(drive, s.param(f"{layer}/recurrent", (units, 4 * units), orthogonal), backwards)
 
 
 def both_ways(s: Scope, layer: str, x: Var, units: int, sequence: bool) -> Var:
     """A forward and a backward LSTM side by side: at each step, or the last state of either."""
     ahead, back = lstm(s, f"{layer}/ahead", x, units), lstm(s, f"{layer}/back", x, units, backwards=True)
-    if not sequence:
-        return slopes.join([ahead[-1], back[0]], 1)
-    steps = [slopes.join(pair, 1) for pair in zip(ahead, back, strict=True)]
-    return slopes.join([slopes.reshape(v, (v.shape[0], 1, v.shape[1])) for v in steps], 1)
+    return slopes.join([ahead, back], 2) if sequence else slopes.join([ahead[:, -1], back[:, 0]], 1)
 
 
 def attention(s: Scope, layer: str, x: Var, heads: int, size: int, rate: float = 0.0) -> Var:
@@ -292,11 +284,16 @@ class Sums:
 
 def batch_sums(network: Network, params: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, loss: Loss, seed: Sequence[int], frozen: Callable[[str], bool] = lambda layer: False) -> Sums:
     """One batch's part of a step; batch statistics are this batch's own."""
-    s = Scope(params, train=True, rng=np.random.default_rng(list(seed)), frozen=frozen)
+    return group_sums(network, params, x, y, loss, [seed], frozen)
+
+
+def group_sums(network: Network, params: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, loss: Loss, seeds: Sequence[Sequence[int]], frozen: Callable[[str], bool] = lambda layer: False) -> Sums:
+    """The parts of a step of several batches, a seed each, of as many rows each: what ``batch_sums`` gives for each, added up."""
+    s = Scope(params, train=True, rngs=[np.random.default_rng(list(seed)) for seed in seeds], frozen=frozen)
     result = loss(network.logits(s, np.nan_to_num(x)), y)
     slopes.hand_back(result)
     own = {k: v.slope for k, v in s.used.items() if v.slope is not None and not frozen(layer_of(k))}
-    return Sums(len(y), float(result.value), own, {k: v * len(y) for k, v in s.batch.items()})
+    return Sums(len(y), float(result.value), own, {k: v * (len(y) // len(seeds)) for k, v in s.batch.items()})
 
 
 class Adam:

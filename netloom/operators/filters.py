@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.sources.sinks import small_side
+
 
 def exclude_classes(df: DataFrame, target: str, classes: Sequence[str]) -> DataFrame:
     """Without the listed classes; a null class stays."""
@@ -15,9 +17,9 @@ def exclude_classes(df: DataFrame, target: str, classes: Sequence[str]) -> DataF
 
 
 def drop_rare_classes(df: DataFrame, target: str, least: int = 3) -> DataFrame:
-    """Without classes of fewer than ``least`` rows. One row per class is joined back, so rows aren't sorted."""
+    """Without classes of fewer than ``least`` rows. Rows stay where they are: dealt by class, the largest class would be one task, here and in each later step."""
     rare = df.groupBy(target).count().filter(F.col("count") < least).select(F.col(target).alias("__rare"))
-    return df.join(rare, df[target].eqNullSafe(F.col("__rare")), "left_anti")
+    return df.join(small_side(rare, "rare"), df[target].eqNullSafe(F.col("__rare")), "left_anti")
 
 
 def trailing(df: DataFrame, ts: str, now: Column, window: str = "24 hours") -> DataFrame:

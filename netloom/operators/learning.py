@@ -1,7 +1,7 @@
 """Training of multi-class networks over partitioned rows, and scoring with them.
 
 Rows are dealt once into micro-batches of a fixed size, and these into steps. In a
-step every task adds up the slopes of its micro-batches, tasks' sums are added in
+step every task adds up the slopes of its micro-batches, a few of them at a time, tasks' sums are added in
 a tree, and the driver, which holds one model, takes the step. Normalised layers
 use the statistics of their own micro-batch, and dropout is seeded by step and
 micro-batch, so the result doesn't depend on the number of partitions (but for the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.operators import balancing
-from netloom.operators.classifiers import TRANSFER_HEAD, Adam, Loss, Network, Scope, Sums, apply, batch_sums, layer_of, moving, scored_parts, with_new_head
+from netloom.operators.classifiers import SCORED, TRANSFER_HEAD, Adam, Loss, Network, Scope, Sums, apply, group_sums, layer_of, moving, scored_parts, with_new_head
 from netloom.operators.federated import Watch
 from netloom.operators.ranking import with_position
 from netloom.sources.sinks import shared_folder
@@ -36,7 +36,7 @@ FROZEN_EPOCHS, FROZEN_RATE, ALL_EPOCHS, ALL_RATE = 5, 1e-3, 50, 1e-4
 
 @dataclass(frozen=True)
 class Dealt:
-    """Stored micro-batches: rows (micro, x, y) in a folder for each step."""
+    """Stored micro-batches: rows (micro, x, y) in a folder for each step, a folder in it for each of its tasks."""
 
     spark: SparkSession
     path: str
@@ -45,7 +45,7 @@ class Dealt:
     micros: int
 
     def step(self, k: int) -> DataFrame:
-        return self.spark.read.schema("micro long, x array<array<double>>, y array<int>").parquet(f"{self.path}/step={k}")
+        return self.spark.read.schema("micro long, x array<array<double>>, y array<int>").parquet(f"{self.path}/step={k}").select("micro", "x", "y")
 
 
 def matrix(features: Sequence[str]) -> F.Column:
@@ -69,10 +69,10 @@ def deal(df: DataFrame, features: Sequence[str], label: str, micro: int = MICRO,
     dealt = dealt.select("micro", F.col("rows.x").alias("x"), F.col("rows.y").alias("y"), (F.col("micro") % steps).cast("int").alias("step"))
     path = f"{shared_folder(df.sparkSession)}/netloom/micro-batches-{uuid.uuid4().hex}"
     if n:
-        # A step's micro-batches lie in a file for each of its tasks, so that no pass has to deal them again.
+        # A step's micro-batches lie in a file for each of its tasks, also where two of them were dealt together, so that no pass has to deal them again.
         each, cores = -(-micros // steps), df.sparkSession.sparkContext.defaultParallelism
         task = (F.col("micro") / steps).cast("long") % min(each, cores)
-        dealt.repartition(min(steps * min(each, cores), 4 * cores), "step", task).write.partitionBy("step").parquet(path)
+        dealt.withColumn("task", task).repartition(min(steps * min(each, cores), 4 * cores), "step", "task").write.partitionBy("step", "task").parquet(path)
     return Dealt(df.sparkSession, path, n, steps if n else 0, micros)
 
 
@@ -93,6 +93,25 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(*total)
 
 
+def _hold_memory() -> None:
+    """A large piece that is freed again: from then on C's allocator keeps what a pass frees for the next one, instead of new pages for each."""
+    np.empty(1 << 21)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(micro, x, y) of micro-batches that have as many rows each, together at most as many as are scored at once."""
+    groups: dict[int, list] = {}
+    for batch in batches:
+        for micro, x, y in zip(*(batch.column(k) for k in range(3)), strict=True):
+            labels = y.values.to_numpy()
+            n = len(labels)
+            group = groups.setdefault(n, [])
+            group.append((micro.as_py(), x.values.flatten().to_numpy().reshape(n, -1), labels))
+            if (len(group) + 1) * n > SCORED:
+                yield groups.pop(n)
+    yield from groups.values()
+
+
 def _step_sums(micros: DataFrame, network: Network, params: dict[str, np.ndarray], loss: Loss, seed: int, frozen: Callable[[str], bool], tasks: int) -> Sums:
     """The sums of a step, from all its micro-batches."""
     names = [k for k in params if not moving(k) and not frozen(layer_of(k))]
@@ -100,13 +119,12 @@ def _step_sums(micros: DataFrame, network: Network, params: dict[str, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for micro, x, y in zip(*(batch.column(k) for k in range(3)), strict=True):
-                    labels = y.values.to_numpy()
-                    values = x.values.flatten().to_numpy().reshape(len(labels), -1)
-                    s = batch_sums(network, params, values, labels, loss, [seed, micro.as_py()], frozen)
-                    yield _row(s.rows, s.loss, np.concatenate([s.slopes[k].ravel() for k in names]), np.concatenate([s.batch[k] for k in kept] or [np.zeros(0)]))
+            for group in _groups(batches):
+                micros, x, y = zip(*group, strict=True)
+                s = group_sums(network, params, np.concatenate(x), np.concatenate(y), loss, [[seed, micro] for micro in micros], frozen)
+                yield _row(s.rows, s.loss, np.concatenate([s.slopes[k].ravel() for k in names]), np.concatenate([s.batch[k] for k in kept] or [np.zeros(0)]))
 
+        _hold_memory()
         yield from _added(each())
 
     # Read as they were dealt: no shuffle.
@@ -172,6 +190,7 @@ def predict(df: DataFrame, model: Trained, features: Sequence[str], to: str = "p
     network, params = model.network, model.params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_memory()
         for batch in batches:
             last = batch.num_columns - 1
             own = np.zeros((0, network.classes))
@@ -193,6 +212,7 @@ def mean_loss(df: DataFrame, network: Network, params: dict[str, np.ndarray], fe
     plain = Loss(None, loss.smoothing, loss.gamma, loss.alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_memory()
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)

@@ -38,7 +38,7 @@ class Var:
                 return a.reshape(-1, a.shape[-1]).T @ g.reshape(-1, g.shape[-1])
             return np.swapaxes(a, -1, -2) @ g
 
-        return Var(a @ b, (self, lambda g: g @ np.swapaxes(b, -1, -2)), (other, to_other))
+        return Var(_product(a, b), (self, lambda g: _product(g, np.swapaxes(b, -1, -2))), (other, to_other))
 
     def __getitem__(self, part: tuple) -> Var:
         def back(g: np.ndarray) -> np.ndarray:
@@ -49,6 +49,11 @@ class Var:
         return Var(self.value[part], (self, back))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b; one matrix for all of a is one product, not one for each row."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], -1) if b.ndim == 2 and a.ndim > 2 and a.size else a @ b
+
+
 def of(x: Var | float | np.ndarray) -> Var:
     return x if isinstance(x, Var) else Var(np.asarray(x, float))
 
@@ -64,8 +69,16 @@ def relu(x: Var) -> Var:
     return Var(np.maximum(x.value, 0), (x, lambda g: g * (x.value > 0)))
 
 
+def _gate(x: np.ndarray) -> np.ndarray:
+    y = np.clip(x, -500, 500)
+    for f in (np.negative, np.exp):
+        f(y, out=y)
+    y += 1
+    return np.divide(1, y, out=y)
+
+
 def sigmoid(x: Var) -> Var:
-    y = 1 / (1 + np.exp(-np.clip(x.value, -500, 500)))
+    y = _gate(x.value)
     return Var(y, (x, lambda g: g * y * (1 - y)))
 
 
@@ -118,7 +131,7 @@ def join(parts: Sequence[Var], axis: int) -> Var:
     cuts = np.cumsum([0, *(p.shape[axis] for p in parts)])
 
     def back(k: int) -> Callable[[np.ndarray], np.ndarray]:
-        return lambda g: np.take(g, range(cuts[k], cuts[k + 1]), axis)
+        return lambda g: g[(slice(None),) * (axis % g.ndim) + (slice(cuts[k], cuts[k + 1]),)]
 
     return Var(np.concatenate([p.value for p in parts], axis), *((p, back(k)) for k, p in enumerate(parts)))
 
@@ -129,6 +142,59 @@ def pad(x: Var, before: int, after: int) -> Var:
     return Var(np.pad(x.value, ((0, 0), (before, after), *((0, 0),) * (x.value.ndim - 2))), (x, lambda g: g[:, before : before + n]))
 
 
+def recurrent(drive: Var, again: Var, backwards: bool = False) -> Var:
+    """The states of an LSTM after each step (rows, steps, units), in the order of the steps, in one piece.
+
+    drive: what the inputs give to the gates (rows, steps, 4 units), in the order input,
+    forget, candidate, output; again: what the last state gives to them, as a matrix.
+    """
+    n, steps, rows = again.shape[0], drive.shape[1], drive.shape[0]
+    # Columns lie one below the other, so that each gate is one piece.
+    given, left = np.ascontiguousarray(drive.value.transpose(1, 2, 0)), np.ascontiguousarray(again.value.T)
+    i, f, g, o = (slice(k * n, (k + 1) * n) for k in range(4))
+    gates, (cells, bent, states) = [np.zeros(0)] * steps, np.empty((3, steps, n, rows))
+    way = [*range(steps)][:: -1 if backwards else 1]
+    h = c = np.zeros((n, rows))
+    for t in way:
+        z = left @ h
+        z += given[t]
+        # tanh(x) = 2 / (1 + exp(-2 x)) - 1
+        z[g] *= 2
+        y = gates[t] = _gate(z)
+        y[g] *= 2
+        y[g] -= 1
+        c = cells[t] = y[f] * c + y[i] * y[g]
+        bent[t] = 2 * _gate(2 * c) - 1
+        h = np.multiply(y[o], bent[t], out=states[t])
+    done: list[np.ndarray] = []
+
+    def back(slope: np.ndarray) -> np.ndarray:
+        """Slopes of what drives the gates (steps, 4 units, rows)."""
+        if not done:
+            slope, out = np.ascontiguousarray(slope.transpose(1, 2, 0)), np.empty((steps, 4 * n, rows))
+            h = c = 0.0
+            for k in reversed(range(steps)):
+                t = way[k]
+                y, own = gates[t], out[t]
+                h = slope[t] + h
+                c = c + h * y[o] * (1 - bent[t] * bent[t])
+                own[i] = c * y[g]
+                own[f] = c * cells[way[k - 1]] if k else 0.0
+                own[g] = c * y[i] * (1 - y[g] * y[g])
+                own[o] = h * bent[t]
+                for part in (slice(0, 2 * n), o):
+                    own[part] *= y[part] * (1 - y[part])
+                h, c = again.value @ own, c * y[f]
+            done.append(out)
+        return done[0]
+
+    def to_again(slope: np.ndarray) -> np.ndarray:
+        out = back(slope)
+        return sum((states[a] @ out[b].T for a, b in zip(way, way[1:], strict=False)), np.zeros(again.shape))
+
+    return Var(states.transpose(2, 0, 1), (drive, lambda slope: np.ascontiguousarray(back(slope).transpose(2, 0, 1))), (again, to_again))
+
+
 def hand_back(result: Var) -> None:
     """Give every value that ``result`` (a number) depends on its slope."""
     order: list[Var] = []

@@ -227,6 +227,18 @@ def test_steps_are_read_without_a_shuffle(spark, monkeypatch):
     assert len(files) > 1 and dealt.step(0).select("micro").distinct().count() == dealt.step(0).count() == dealt.micros
 
 
+def test_tasks_of_a_step_have_as_much_to_do(spark):
+    """A file for each task, of as many micro-batches but for one, however steps and tasks were dealt."""
+    df, names = blobs(spark, 1000, inputs=7)
+    dealt = learning.deal(df, names, "label", micro=8, batch=125)
+    assert dealt.micros == 125 and dealt.steps == 8
+    for k in range(8):
+        step = dealt.step(k)
+        assert step.columns == ["micro", "x", "y"]
+        sizes = [r["count"] for r in step.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= 1
+
+
 def test_letter_shares_in_one_pass(spark, tmp_path):
     """As by replacing each letter, for letters of one and two bytes, other alphabets, nulls and long texts."""
     from netloom.functions.letters import LETTERS
@@ -240,3 +252,57 @@ def test_letter_shares_in_one_pass(spark, tmp_path):
     shares = [(F.lit(1000.0) * (F.length(low) - F.length(F.replace(low, F.lit(c)))) / size).alias(n) for c, n in zip(LETTERS, names, strict=True)]
     expected = spark.read.parquet(f"{tmp_path}/documents.parquet").select("lang", *shares)
     assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+@pytest.mark.parametrize("name", SMALL)
+def test_micro_batches_below_one_another_add_up(name):
+    """Statistics and dropout stay those of each micro-batch."""
+    network, rng, loss = small(name), np.random.default_rng(4), K.Loss(weights=[1, 2, 0.5])
+    params, x, y = network.start(1), rng.normal(size=(15, network.inputs)), rng.integers(0, 3, 15)
+    seeds = [[7, k] for k in range(3)]
+    own = [K.batch_sums(network, params, x[k * 5 : k * 5 + 5], y[k * 5 : k * 5 + 5], loss, seeds[k]) for k in range(3)]
+    got = K.group_sums(network, params, x, y, loss, seeds)
+    assert got.rows == 15 and got.loss == pytest.approx(sum(s.loss for s in own))
+    for part in ("slopes", "batch"):
+        assert set(getattr(got, part)) == set(getattr(own[0], part))
+        for k, v in getattr(got, part).items():
+            assert np.allclose(v, sum(getattr(s, part)[k] for s in own), rtol=1e-9, atol=1e-12), k
+
+
+def test_few_micro_batches_are_held_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    sizes = [int(n) for n in rng.choice([63, 64], 50)] + [300]
+    x, y = ([rng.normal(size=(n, 2)).tolist() for n in sizes], [list(range(n)) for n in sizes])
+    whole = pa.RecordBatch.from_arrays([pa.array(range(51)), pa.array(x), pa.array(y, pa.list_(pa.int32()))], ["micro", "x", "y"])
+    groups = list(learning._groups(iter([whole.slice(0, 20), whole.slice(20)])))
+    assert sorted(micro for group in groups for micro, _, _ in group) == list(range(51))
+    assert all(len({len(labels) for _, _, labels in group}) == 1 for group in groups)
+    assert all(sum(len(labels) for _, _, labels in group) <= 256 for group in groups if len(group) > 1)
+    assert len(groups) <= 50 // 4 + 3
+    for micro, values, labels in (t for group in groups for t in group):
+        assert (values == np.array(x[micro])).all() and labels.tolist() == y[micro]
+
+
+def test_recurrent_layers_are_one_piece(monkeypatch):
+    """As many values for eight steps as for two, though each is a loop over the steps."""
+    counts, start = [], K.slopes.Var.__init__
+    for steps in (2, 8):
+        network = K.Network("bilstm", 8, 3, {"units": (4, 3, 2), "width": 5, "steps": steps})
+        params = network.start()
+        made = []
+        monkeypatch.setattr(K.slopes.Var, "__init__", lambda self, *a, made=made: made.append(1) or start(self, *a))
+        K.batch_sums(network, params, np.ones((6, 8)), np.arange(6) % 3, K.Loss(), [1])
+        counts.append(len(made))
+    assert counts[0] == counts[1] < 150
+
+
+def test_gates_of_large_inputs_are_full():
+    """No overflow in either direction, and the slopes there are 0."""
+    drive, again = K.slopes.of(np.full((2, 3, 8), 1e4) * np.array([1.0, -1.0])[:, None, None]), K.slopes.of(np.zeros((2, 8)))
+    with np.errstate(all="raise", under="ignore"):
+        out = K.slopes.recurrent(drive, again)
+        K.slopes.hand_back(K.slopes.total(out))
+    assert out.value[0] == pytest.approx(np.tanh([1.0, 2.0, 3.0])[:, None] * np.ones(2)) and np.abs(out.value[1]).max() < 1e-9
+    assert np.isfinite(drive.slope).all() and np.abs(drive.slope).max() < 1e-9

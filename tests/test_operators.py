@@ -178,6 +178,19 @@ def test_filters(spark):
     assert filters.drop_rare_classes(df.union(df).union(df.filter("n = 3")), "type", 3).count() == 3
 
 
+def test_rows_stay_where_they_are_without_rare_classes(spark):
+    """A class of nearly all rows isn't one task's afterwards; nulls are a class."""
+    df = spark.range(0, 1000, 1, 4).select("id", F.when(F.col("id") < 2, "few").when(F.col("id") > 3, "most").alias("type"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = filters.drop_rare_classes(df, "type", 3)
+        assert sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) == [246, 250, 250, 250]
+        assert filters.drop_rare_classes(df, "type", 2).count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_vectors_and_columns(spark):
     df = spark.createDataFrame([("a", 1.5, 2)], "s string, x double, n long")
     row = df.select(projection.vector(["x", "n"]).alias("v")).select("v", projection.sequence_of(F.col("v")).alias("s"), projection.tokens_of(F.col("v")).alias("t")).first()
